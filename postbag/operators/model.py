@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folder separators, owner and accession of the viewed archive.
-OWNER = "customer#000000001@building.example"
+OWNER = "customer#000000001@machinery.example"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

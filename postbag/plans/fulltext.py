@@ -143,6 +143,10 @@ def _phrase(cols: Column, want: list[str]) -> Column:
     return F.array_contains(cols, want[0]) & (F.size(places) > 0)
 
 
+def _some(tokens_: Column, test) -> Column:
+    return F.exists(tokens_, lambda w: test(w))
+
+
 def matches(tree: Node, fields: dict[str, Column], default: tuple[str, ...]) -> Column:
     """The tree as one Boolean column over token arrays."""
     if tree.kind == "and":
@@ -166,10 +170,10 @@ def matches(tree: Node, fields: dict[str, Column], default: tuple[str, ...]) ->
             hit = _phrase(col, tree.value)
         elif tree.kind == "wild":
             pattern = "^" + "".join(".*" if ch == "*" else "." if ch == "?" else re.escape(ch) for ch in tree.value) + "$"
-            hit = F.exists(col, lambda w, p=pattern: w.rlike(p))
+            hit = _some(col, lambda w: w.rlike(pattern))
         else:
             word, far = tree.value
-            hit = F.exists(col, lambda w, x=stem_word(word), k=far: F.levenshtein(w, F.lit(x)) <= k)
+            hit = _some(col, lambda w: F.levenshtein(w, F.lit(stem_word(word))) <= far)
         out = out | hit
     return out
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import email
+import email.header
 import email.policy
 import email.utils
 import hashlib
@@ -27,6 +28,13 @@ def _addresses(msg, name: str) -> list[dict]:
     return [{"name": n or None, "email": a.strip().lower()} for n, a in email.utils.getaddresses([str(x) for x in msg.get_all(name, [])]) if a]
 
 
+def _decoded(msg, name: str) -> str:
+    """A header's text; bytes that are not encoded count as UTF-8."""
+    raw = next((v for k, v in msg.raw_items() if k.lower() == name), "")
+    plain = str(raw).encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+    return str(email.header.make_header(email.header.decode_header(plain))) if "=?" in plain else plain
+
+
 def _date(msg) -> tuple[datetime, bool]:
     for value in (msg.get("Date"), (msg.get("Received") or "").rpartition(";")[2] or None):
         try:
@@ -80,7 +88,7 @@ def parse_message(raw: bytes, folder: str) -> dict:
     body = "\n".join(plain) or re.sub(r"\s+", " ", re.sub(r"(?s)<[^>]*>", " ", page)).strip()
     return {
         "folder": folder, "message_id": (str(msg.get("Message-ID") or "")).strip() or None, "date": when, "hacky_date": hacky,
-        "subject": str(email.header.make_header(email.header.decode_header(msg.get("Subject") or ""))),
+        "subject": _decoded(msg, "subject"),
         "from": _addresses(msg, "From"), "to": _addresses(msg, "To"), "cc": _addresses(msg, "Cc"), "bcc": _addresses(msg, "Bcc"),
         "list_post": msg.get("List-Post"), "body": body, "text_html": page or None,
         "headers": "\n".join(f"{k}: {v}" for k, v in msg.items()), "attachments": files,
