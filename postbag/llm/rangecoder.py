@@ -10,7 +10,7 @@ three predictions are mixed:
   `REFRESH` ids), the low byte being uniform within it.
 
 The two confidences and whether both agree select a set of adaptive mixing
-weights; the weights split the range into "order 2 was right", "order 1 was
+weights, learned from how often each prediction was right; the weights split the range into "order 2 was right", "order 1 was
 right" and "other", and an id of the last kind is coded by order 0.  An
 arithmetic coder with a 48-bit range and 16-bit digits writes both decisions.
 
@@ -39,7 +39,7 @@ MAGIC = b"PBRC1\0"
 BLOCK = 4096
 #: Ids of a segment after which it is closed; it is coded in one go.
 SEGMENT = 4 << 20
-REFRESH = 64
+REFRESH = 128
 _H1, _H2 = 1 << 11, 1 << 12
 _TOP, _LOW = np.int64(1) << 48, np.int64(1) << 32
 _STATES = 32
@@ -49,52 +49,62 @@ class _Models:
     """The models of `n` blocks side by side."""
 
     def __init__(self, n: int):
-        self.t1 = np.zeros(n * _H1, np.int64)
-        self.t2 = np.zeros(n * _H2, np.int64)
-        self.w2 = np.full(n * _STATES, 1200, np.int64)
-        self.w1 = np.full(n * _STATES, 800, np.int64)
-        self.count = np.ones((n, 256), np.int64)
-        self.lane = np.arange(n, dtype=np.int64)
-        self.freq = np.zeros((n, 256), np.int64)
-        self.cum = np.zeros((n, 257), np.int64)
+        self.t1 = np.zeros(n * _H1, np.int32)  # id, and above it a confidence from 0 to 3
+        self.t2 = np.zeros(n * _H2, np.int32)
+        lane = np.arange(n, dtype=np.int64)
+        self.lane, self.base1, self.base2, self.base_state = lane, lane * _H1, lane * _H2, lane * _STATES
+        #: How often order 2, order 1 alone, or neither was right, by state.
+        self.right = np.tile(np.array([[10, 6, 16]], np.int32), (n * _STATES, 1))
+        self.flat_right = self.right.reshape(-1)
+        self.count = np.ones(n * 256, np.int32)
+        self.base_count = lane * 256
+        self.cum = np.zeros((n, 257), np.int32)
+        self.flat_cum = self.cum.reshape(-1)
+        self.base_cum = lane * 257
         self.p1 = np.zeros(n, np.int64)
         self.p2 = np.zeros(n, np.int64)
         self.refresh()
 
     def refresh(self) -> None:
-        """Scale the counts of each block to 4,096; each high part keeps 1 at least."""
-        total = self.count.sum(1, keepdims=True)
-        np.floor_divide(self.count * (4096 - 256), total, out=self.freq)
-        self.freq += 1
-        self.freq[self.lane, self.freq.argmax(1)] += 4096 - self.freq.sum(1)
-        np.cumsum(self.freq, axis=1, out=self.cum[:, 1:])
+        """New mixing weights (of 4,096; 16 at least each) and order-0 shares from the counts."""
+        total = self.right.sum(1)
+        self.w2 = 16 + self.right[:, 0] * 4032 // total
+        self.w1 = 16 + self.right[:, 1] * 4032 // total
+        old = total > 400
+        self.right[old] = (self.right[old] + 1) >> 1
+        count = self.count.reshape(-1, 256)
+        freq = count * np.int32(4096 - 256) // count.sum(1, dtype=np.int32)[:, None]
+        freq += 1
+        freq[self.lane, count.argmax(1)] += 4096 - freq.sum(1, dtype=np.int32)
+        np.cumsum(freq, axis=1, out=self.cum[:, 1:])
 
     def slots(self) -> np.ndarray:
         """The high part at each of the 4,096 places, for decoding."""
-        flat = np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(self.freq)), self.freq.ravel())
-        return flat
+        return np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(self.cum)), np.diff(self.cum, axis=1).ravel())
 
     def predict(self, k: int):
-        lane, p1, p2 = self.lane[:k], self.p1[:k], self.p2[:k]
-        i1 = lane * _H1 + ((p1 * 40503 >> 4) & (_H1 - 1))
-        i2 = lane * _H2 + (((p1 * 40503 + p2 * 60493) >> 5) & (_H2 - 1))
-        e1, e2 = self.t1[i1], self.t2[i2]
+        """Places in the tables, entries, candidates, weights and state of each block."""
+        m = self.p1[:k] * 40503
+        i1 = (m >> 4) & (_H1 - 1)
+        i1 += self.base1[:k]
+        m += self.p2[:k] * 60493
+        m >>= 5
+        m &= _H2 - 1
+        m += self.base2[:k]
+        e1, e2 = self.t1.take(i1), self.t2.take(m)
         c1, c2 = e1 & 0xFFFF, e2 & 0xFFFF
         agree = c1 == c2
-        state = lane * _STATES + ((e2 >> 16) << 3) + ((e1 >> 16) << 1) + agree
-        w2, w1 = self.w2[state], self.w1[state]
-        w1 = np.where(agree, 0, w1)
-        return i1, i2, e1, e2, c1, c2, state, w2, w1
-
-    def update(self, k: int, found, ids, kind0, kind1) -> None:
-        """Teach all models the ids; kind0: order 2 was right, kind1: order 1 alone was."""
-        i1, i2, e1, e2, c1, c2, state, w2, _ = found
-        for table, index, e, c in ((self.t1, i1, e1, c1), (self.t2, i2, e2, c2)):
-            high = e >> 16
-            table[index] = np.where(c == ids, c + (np.minimum(high + 1, 3) << 16), np.where(high > 0, e - 65536, ids))
-        self.w2[state] = np.clip(w2 + ((kind0 * 3968 - w2) >> 4), 16, 3000)
-        w1 = self.w1[state]
-        self.w1[state] = np.clip(w1 + ((kind1 * 3968 - w1) >> 4), 16, 1000)
+        state = ((e2 >> 16) << 3) + ((e1 >> 16) << 1) + agree + self.base_state[:k]
+        return i1, m, e1, e2, c1, c2, state, self.w2.take(state), self.w1.take(state) * ~agree
+
+    def update(self, k: int, found, ids, hit2, kind) -> None:
+        """Teach all models the ids; kind: 0 order 2 was right, 1 order 1 alone, 2 neither."""
+        i1, i2, e1, e2, c1, c2, state, _, _ = found
+        for table, index, e, c, hit in ((self.t1, i1, e1, c1, c1 == ids), (self.t2, i2, e2, c2, hit2)):
+            table[index] = np.where(hit, np.minimum(e + 65536, c + 196608), np.where(e >= 65536, e - 65536, ids))
+        state *= 3
+        state += kind
+        self.flat_right[state] += 1
         self.p2[:k] = self.p1[:k]
         self.p1[:k] = ids
 
@@ -104,9 +114,8 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
     n = -(-len(ids) // block)
     if n == 0:
         return np.zeros(0, np.uint16), np.zeros(0, np.int64)
-    sizes = np.full(n, block)
-    sizes[-1] = len(ids) - (n - 1) * block
-    grid = np.zeros(n * block, np.int64)
+    sizes = [block] * (n - 1) + [len(ids) - (n - 1) * block]
+    grid = np.zeros(n * block, np.int32)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(n, block).T)
     models = _Models(n)
@@ -114,44 +123,41 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
     flat = digits.reshape(-1)
     low, width = np.zeros(n, np.int64), np.full(n, _TOP, np.int64)
     at = models.lane.copy()
-
-    def spill(k: int) -> None:
-        while True:
-            small = np.flatnonzero(width[:k] < _LOW)
-            if not len(small):
-                return
-            x = low[small]
-            place = at[small]
-            flat[place] = x >> 32
-            low[small] = (x & 0xFFFFFFFF) << 16
-            width[small] <<= 16
-            at[small] = place + n
-
-    for t in range(int(sizes[0])):
+    for t in range(sizes[0]):
         k = n if t < sizes[-1] else n - 1
         sym = grid[t, :k]
         found = models.predict(k)
-        _, _, _, _, c1, c2, _, w2, w1 = found
-        unit = width[:k] >> 12
+        c1, c2, w2, w1 = found[4], found[5], found[7], found[8]
+        wide = width[:k]
+        unit = wide >> 12
         a = unit * w2
-        b = a + unit * w1
-        kind0 = c2 == sym
-        kind1 = (c1 == sym) & ~kind0
-        other = ~(kind0 | kind1)
-        low[:k] += np.where(kind0, 0, np.where(kind1, a, b))
-        width[:k] = np.where(kind0, a, np.where(kind1, b - a, width[:k] - b))
-        spill(k)
-        rest = np.flatnonzero(other)
+        b = unit * w1
+        b += a
+        hit2 = c2 == sym
+        kind = 2 - (c1 == sym)
+        kind[hit2] = 0
+        low[:k] += np.where(hit2, 0, np.where(kind == 1, a, b))
+        width[:k] = np.where(hit2, a, np.where(kind == 1, b - a, wide - b))
+        rest = np.flatnonzero(kind == 2)
         if len(rest):
-            s = sym[rest]
+            s = sym.take(rest)
             high = s >> 8
-            f = models.freq[rest, high]
-            unit = width[rest] >> 20
-            low[rest] += unit * ((models.cum[rest, high] << 8) + (s & 255) * f)
+            place = models.base_cum.take(rest) + high
+            start = models.flat_cum.take(place)
+            f = models.flat_cum.take(place + 1) - start
+            unit = width.take(rest) >> 20
+            low[rest] += unit * ((start << 8) + (s & 255) * f)
             width[rest] = unit * f
-            models.count[rest, high] += 32
-            spill(k)
-        models.update(k, found, sym, kind0, kind1)
+            models.count[models.base_count.take(rest) + high] += 4
+        models.update(k, found, sym, hit2, kind)
+        small = np.flatnonzero(width[:k] < _LOW)
+        while len(small):
+            x, place, wide = low.take(small), at.take(small), width.take(small) << 16
+            flat[place] = x >> 32
+            low[small] = (x & 0xFFFFFFFF) << 16
+            width[small] = wide
+            at[small] = place + n
+            small = small[wide < _LOW]
         if t % REFRESH == REFRESH - 1:
             models.refresh()
     for shift in (32, 16, 0):
@@ -172,55 +178,59 @@ def decode_blocks(words: np.ndarray, used: np.ndarray, total: int, block: int =
     if n == 0:
         return np.zeros(0, np.uint16)
     last = total - (n - 1) * block
-    source = np.concatenate([words.astype(np.int64), np.zeros(4, np.int64)])
+    source = np.concatenate([words, np.zeros(8, np.uint16)])
     at = np.cumsum(used) - used
     models = _Models(n)
     slots = models.slots()
-    code = (source[at] << 32) | (source[at + 1] << 16) | source[at + 2]
+    code = (source[at].astype(np.int64) << 32) | (source[at + 1].astype(np.int64) << 16) | source[at + 2]
     at = at + 3
     width = np.full(n, _TOP, np.int64)
     out = np.zeros((min(block, total), n), np.uint16)
-
-    def fill(k: int) -> None:
-        while True:
-            small = np.flatnonzero(width[:k] < _LOW)
-            if not len(small):
-                return
-            place = at[small]
-            code[small] = (code[small] << 16) | source[np.minimum(place, len(source) - 1)]
-            width[small] <<= 16
-            at[small] = place + 1
-
+    slot_base = models.lane * 4096
+    end = len(source) - 1
     for t in range(len(out)):
         k = n if t < last else n - 1
         found = models.predict(k)
-        _, _, _, _, c1, c2, _, w2, w1 = found
-        unit = width[:k] >> 12
+        c1, c2, w2, w1 = found[4], found[5], found[7], found[8]
+        wide = width[:k]
+        unit = wide >> 12
         a = unit * w2
-        b = a + unit * w1
+        b = unit * w1
+        b += a
         now = code[:k]
-        kind0 = now < a
+        hit2 = now < a
         other = now >= b
-        kind1 = ~(kind0 | other)
-        sym = np.where(kind0, c2, c1)
-        code[:k] = now - np.where(kind0, 0, np.where(kind1, a, b))
-        width[:k] = np.where(kind0, a, np.where(kind1, b - a, width[:k] - b))
-        fill(k)
+        kind = 1 + other
+        kind[hit2] = 0
+        sym = np.where(hit2, c2, c1)
+        low = np.where(hit2, 0, np.where(other, b, a))
+        width[:k] = np.where(hit2, a, np.where(other, wide - b, b - a))
+        code[:k] = now - low
         rest = np.flatnonzero(other)
         if len(rest):
-            unit = width[rest] >> 20
-            value = np.minimum(code[rest] // unit, (1 << 20) - 1)
-            high = slots[rest * 4096 + (value >> 8)].astype(np.int64)
-            f = models.freq[rest, high]
-            base = models.cum[rest, high] << 8
-            byte = (value - base) // f
-            code[rest] -= unit * (base + byte * f)
+            x, unit = code.take(rest), width.take(rest) >> 20
+            value = np.minimum((x / unit).astype(np.int64), (1 << 20) - 1)  # below 2**48: a double holds both, the quotient is put right next
+            value -= value * unit > x
+            value += ((value + 1) * unit <= x) & (value < (1 << 20) - 1)
+            high = slots.take(slot_base.take(rest) + (value >> 8)).astype(np.int64)
+            place = models.base_cum.take(rest) + high
+            start = models.flat_cum.take(place)
+            f = models.flat_cum.take(place + 1) - start
+            base = start.astype(np.int64) << 8
+            byte = ((value - base) // f.astype(np.int64)).astype(np.int64)
+            code[rest] = x - unit * (base + byte * f)
             width[rest] = unit * f
             sym[rest] = (high << 8) | byte
-            models.count[rest, high] += 32
-            fill(k)
-        models.update(k, found, sym, kind0, kind1)
+            models.count[models.base_count.take(rest) + high] += 4
+        models.update(k, found, sym, sym == c2, kind)
         out[t, :k] = sym
+        small = np.flatnonzero(width[:k] < _LOW)
+        while len(small):
+            place, wide = at.take(small), width.take(small) << 16
+            code[small] = (code.take(small) << 16) | source.take(np.minimum(place, end))
+            width[small] = wide
+            at[small] = place + 1
+            small = small[wide < _LOW]
         if t % REFRESH == REFRESH - 1:
             models.refresh()
             slots = models.slots()
