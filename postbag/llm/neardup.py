@@ -8,9 +8,11 @@ candidates, and links are confirmed on full sets.
 Work stays near-linear in a group's size.  Documents with equal sets are one class.
 In each band bucket classes are first compared with one representative only;
 confirmed links are merged to components, and only classes of different components
-that still share a bucket are compared further (second representative, then all
-such pairs), so a large group of copies is never expanded into its pairs while no
-link between components is passed over.
+that still share a bucket are compared further: with the class that has most links so
+far, with another one, and at last with each other.  So a large group of copies is
+never expanded into its pairs while no link between components is passed over.  The
+last step leaves out pairs whose sketches (four bits of each signature value) agree
+in so few places that a link would lie 4.5 standard deviations off.
 
 Null and empty texts have the empty set: no links, component of their own.  A text of
 fewer words than a shingle has its whole word sequence as its one shingle.  Equal
@@ -24,13 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postbag.llm import common
 from postbag.llm.tokens import Words
 
 BANDS, ROWS = 40, 6
+BITS_WORDS = BANDS * ROWS // 16
 _A = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 32, BANDS * ROWS // 2, dtype=np.uint64) | np.uint64(1)
 _B = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 32, BANDS * ROWS // 2, dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -63,13 +66,14 @@ def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return mixed[new], bounds
 
 
-def bands(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A band key per text and band; texts with an empty set get zeros."""
+def bands(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A band key per text and band, and four bits of each signature value, 16 to a
+    word; texts with an empty set get zeros."""
     n = len(bounds) - 1
     some = np.flatnonzero(np.diff(bounds))
-    out = np.zeros((n, BANDS), np.int64)
+    out, bits = np.zeros((n, BANDS), np.int64), np.zeros((n, BITS_WORDS), np.int64)
     if not len(some):
-        return out
+        return out, bits
     x = (values ^ (values >> np.uint64(32))).astype(np.uint32)
     begin = bounds[:-1][some]
     signature = np.empty((BANDS * ROWS, len(some)), np.uint32)
@@ -88,23 +92,46 @@ def bands(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             key = (key ^ row) * np.uint64(0xD6E8FEB86659FD93)
             key ^= key >> np.uint64(32)
         out[some, k] = key.view(np.int64)
-    return out
+    for k in range(BITS_WORDS):
+        word = np.zeros(len(some), np.uint64)
+        for i, row in enumerate(signature[16 * k : 16 * k + 16]):
+            word |= (row & np.uint32(15)).astype(np.uint64) << np.uint64(4 * i)
+        bits[some, k] = word.view(np.int64)
+    return out, bits
+
+
+def agreeing(a: str, b: str) -> Column:
+    """Signature values whose four bits agree, of two columns of words."""
+    differ = F.lit(0)
+    for i in range(BITS_WORDS):
+        d = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        differ = differ + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+    return F.lit(16 * BITS_WORDS) - differ
+
+
+def least_agreeing(percent: int) -> int:
+    """Agreeing values below which a link is 4.5 standard deviations off."""
+    n = 16 * BITS_WORDS
+    p = percent / 100 + (1 - percent / 100) / 16
+    return int(n * p - 4.5 * (n * p * (1 - p)) ** 0.5)
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands) of every whole text."""
+    """(doc_id, n_shingles, digest, bands, bits) of every whole text."""
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, "text", 3_000_000):
             values, bounds = shingles(b.column("text"), size)
-            keys = bands(values, bounds)
+            keys, bits = bands(values, bounds)
             raw = values.tobytes()
             digest = [xxhash.xxh3_128_digest(raw[8 * i : 8 * j]) if j > i else None for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(bounds)), pa.array(digest, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "bands"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (keys, bits)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(bounds)), pa.array(digest, pa.binary()), *lists], names=["doc_id", "n_shingles", "digest", "bands", "bits"])
 
-    return common.doc_ids_and_text(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<bigint>")
+    return common.doc_ids_and_text(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<bigint>, bits array<bigint>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -147,6 +174,22 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _across(open_: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Classes of different components that share a bucket, each pair at the first band
+    they share, if size and sketches allow a link."""
+    held = open_.join(rows.select(F.col("doc_id").alias("id"), "bands", "bits", "n_shingles"), "id")
+    side = lambda x: held.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "comp", "bands", "bits", "n_shingles")])
+    sizes = 100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")
+    alike = agreeing("bits_a", "bits_b") >= least_agreeing(percent)
+    first = F.expr("array_position(zip_with(bands_a, bands_b, (p, q) -> p = q), true) = array_position(bands_a, bucket)")
+    met = side("a").join(side("b"), "bucket").where((F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & sizes & alike & first)
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
 def cluster(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest linked doc_id), kept."""
     spark = docs.sparkSession
@@ -156,38 +199,32 @@ def cluster(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     # one row of each class: the least doc_id of a digest
     leaders = rows.join(classes, (rows.digest == classes.digest) & (rows.doc_id == classes.id), "left_semi")
     keyed = leaders.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
-    crowded = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("n > 1").select("bucket", "low", "high")
+    crowded = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1").select("bucket", "low")
     members = common.written(keyed.join(crowded, "bucket"), "members")
     sets = common.written(full_sets(docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), size).dropDuplicates(["id"]), "sets")
 
-    links = None
-    comp = None
-    for rep in ("low", "high", None):
-        if comp is None:
-            open_ = members.select("bucket", "id", "low", "high", F.col("id").alias("comp"))
+    links = confirmed(_ordered(members.where("id != low").select(F.col("id").alias("a"), F.col("low").alias("b"))), sets, percent)
+    links = common.written(links, "links")
+    comp = components(links)
+    for step in ("most linked", "another", "all"):
+        tied = members.join(comp, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
+        mixed = tied.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("bucket")
+        open_ = common.written(tied.join(mixed, "bucket", "left_semi"), "open")
+        if step == "all":
+            pairs = _across(open_, rows, percent)
         else:
-            tied = members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            mixed = tied.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("bucket")
-            open_ = common.written(tied.join(mixed, "bucket", "left_semi"), "open")
-        if rep:
-            target = open_.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb")).where(F.col("b") == F.col(rep)) if comp is not None else None
-            if target is None:
-                pairs = open_.where(F.col("id") != F.col(rep)).select(F.col("id").alias("a"), F.col(rep).alias("b"))
+            rank = F.xxhash64("id").cast("double")
+            if step == "most linked":
+                degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+                ranked = open_.join(degree, "id", "left").withColumn("rank", F.coalesce("degree", F.lit(0)) + rank / 1e20)
             else:
-                pairs = open_.join(target, "bucket").where("comp != cb").select(F.col("id").alias("a"), "b")
-        else:
-            # what is left: classes of different components, each pair at the first band they share
-            held = open_.join(rows.select(F.col("doc_id").alias("id"), "bands", "n_shingles"), "id")
-            a = held.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("bands").alias("xa"), F.col("n_shingles").alias("na"))
-            b = held.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("bands").alias("xb"), F.col("n_shingles").alias("nb"))
-            size_ok = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) if percent else F.lit(True)
-            first = F.expr("array_position(zip_with(xa, xb, (p, q) -> p = q), true)") == F.expr("array_position(xa, bucket)")
-            pairs = a.join(b, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & size_ok & first).select("a", "b")
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        found = common.written(confirmed(pairs, sets, percent), "links")
-        if comp is not None and found.isEmpty():
+                ranked = open_.withColumn("rank", rank)
+            lead = ranked.groupBy("bucket").agg(F.max_by(F.struct("id", "comp"), "rank").alias("r"))
+            pairs = open_.join(lead, "bucket").where("comp != r.comp").select(F.col("id").alias("a"), F.col("r.id").alias("b"))
+        found = common.written(confirmed(_ordered(pairs), sets, percent), "links")
+        if found.isEmpty():
             continue
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         comp = components(links)
     named = classes.join(comp, "id", "left").select("digest", F.coalesce("comp", "id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
