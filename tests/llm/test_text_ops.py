@@ -37,8 +37,7 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_chunk_encoder_word_file_only(name):
+def test_chunk_encoder():
     enc = ChunkEncoder(PATH, cache=5)  # starts anew all the time
     for _ in range(2):
         ids, counts = enc.encode(pa.array(ODD))
