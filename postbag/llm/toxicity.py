@@ -1,15 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text, both
-on windows of one word in a fixed frame.  (The frame is in both dictionaries: it
-keeps a window above the size below which zstandard stores bytes as they are, and
-ties a match to the start or end of the word.)  Every window of a document is
-compressed with either dictionary; ordinary length less toxic length is its
-distance.  (The toxic dictionary lies behind a copy of the ordinary one, so that
-what both kinds of text share costs the same and only what is typical of toxic text
-makes a difference.)  A window counts as toxic from a threshold on, calibrated on labelled
-documents that the dictionaries have not seen; number, share, sum and maximum of a
-document's distances go through a logistic calibration to a score from 0 to 1.
+Two zstandard dictionaries are trained, one on ordinary and one on toxic text, each
+on all windows of eight words of its own class.  The trained bytes stay whole; the
+rest of a dictionary's size holds the most usual words of its class in a fixed
+frame.  (The frame keeps a window above the size below which zstandard stores bytes
+as they are, and ties a match to the start or end of the word.)  Every window of one
+framed word of a document is compressed with either dictionary; ordinary length less
+toxic length is its distance.  A window counts as toxic from a threshold on,
+calibrated on labelled documents that the dictionaries have not seen; number, share,
+sum and maximum of a document's distances go through a logistic calibration to a
+score from 0 to 1.
 A worker compresses each distinct word once and finds it again by a hash.
 
 Null and empty texts have no window; their score is the calibration's value at
@@ -33,7 +33,8 @@ from postbag.llm.tokens import HashTable, Words
 
 #: Labelled documents that the model is fitted on, at most (about).
 FIT_ROWS = 8_000
-GRAM = 5
+#: Words of a window that a dictionary is trained on.
+TRAIN_WORDS = 8
 DICTIONARY = 65_536
 #: Distinct words whose distance a worker keeps.
 CACHE_WORDS = 2_500_000
@@ -44,35 +45,27 @@ def framed(word: bytes) -> bytes:
     return _BEFORE + b" " + word + b" " + _AFTER
 
 
-def _grams(word: str) -> set[str]:
-    word = f" {word} "
-    return {word[i : i + GRAM] for i in range(max(1, len(word) - GRAM + 1))}
-
-
-def _split(toxic: list[str], ordinary: list[str]) -> tuple[list[bytes], list[bytes]]:
-    """Training words: those of toxic texts with a run of characters far more usual
-    there than in ordinary texts, and those of ordinary texts without one."""
-    seen = []
-    for texts in (toxic, ordinary):
-        df: Counter[str] = Counter()
-        for t in texts:
-            df.update(set().union(*(_grams(w) for w in set(t.lower().split())), set()))
-        seen.append(df)
-    n1, n0 = len(toxic) + 1, len(ordinary) + 1
-    strong = {g for g, k in seen[0].items() if k >= max(3, 0.01 * n1) and (k + 0.2) / n1 > 6 * (seen[1][g] + 0.2) / n0}
-    return [w.encode() for t in toxic for w in t.lower().split() if _grams(w) & strong], [w.encode() for t in ordinary for w in t.lower().split() if not _grams(w) & strong]
-
-
-def _train(samples: list[bytes], size: int) -> bytes:
-    """A dictionary of framed words; the most usual ones stand last, where offsets are short."""
+def _train(texts: list[str], size: int) -> bytes:
+    """A dictionary of at most `size` bytes: what zstandard learns from all windows of
+    the texts, then framed words, the most usual ones last, where offsets are short."""
+    windows, count = [], Counter()
+    for t in texts:
+        words = t.lower().split()
+        count.update(words)
+        windows += [f" {' '.join(words[i : i + TRAIN_WORDS])} ".encode() for i in range(0, len(words), TRAIN_WORDS)]
     trained = b""
-    if len(samples) > 50:
+    if len(windows) > 50:
         try:
-            trained = zstandard.train_dictionary(size // 4, [framed(w) for w in samples]).as_bytes()
+            trained = zstandard.train_dictionary(size // 4, windows).as_bytes()
         except zstandard.ZstdError:  # too few or too equal samples for the trainer
             trained = b""
-    words = b"".join(framed(w) for w, _ in reversed(Counter(samples).most_common(size // 12)))
-    return (trained + words)[-size:] or framed(b"")
+    room, usual = size - len(trained), []
+    for w, _ in count.most_common():
+        word = framed(w.encode())
+        if len(word) <= room:  # a word too long for the rest leaves it to shorter ones
+            usual.append(word)
+            room -= len(word)
+    return trained + b"".join(reversed(usual)) or framed(b"")
 
 
 class Model:
@@ -160,9 +153,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     train, held = rows[::2], rows[1::2]
     toxic = [t for t, y in train if y]
     ordinary = [t for t, y in train if not y]
-    marked, usual = _split(toxic, ordinary)
-    base = _train(usual, DICTIONARY)
-    model = Model(base, base + _train(marked, DICTIONARY), 1, [0.0] * 5, [[0.0] * 4, [1.0] * 4])
+    model = Model(_train(ordinary, DICTIONARY), _train(toxic, DICTIONARY), 1, [0.0] * 5, [[0.0] * 4, [1.0] * 4])
     found = model.distances(pa.array([t for t, _ in held], pa.string()))
     y = np.array([k for _, k in held], float)
     if len(y) == 0 or y.min() == y.max():

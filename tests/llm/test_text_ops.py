@@ -191,6 +191,16 @@ def test_toxicity_held_out(labelled):
     assert ((odd >= 0) & (odd <= 1)).all()
 
 
+def test_toxicity_dictionaries_keep_what_was_trained():
+    rng = np.random.default_rng(5)
+    words = [[f"{c}{i:05d}" for i in range(20_000)] for c in "ot"]
+    texts = [" ".join(words[i % 4 == 0][k] for k in rng.integers(0, 20_000, 200)) for i in range(800)]
+    model = toxicity.fit(texts, [int(i % 4 == 0) for i in range(800)])
+    for held in (model.ordinary, model.toxic):
+        assert held.startswith(b"\x37\xa4\x30\xec") and len(held) <= toxicity.DICTIONARY  # the trainer's mark
+    assert b" o0" not in model.toxic and b" t0" not in model.ordinary
+
+
 def test_language(spark, docs):
     names, table = langmix.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 2 = 0"))
     got = {r.doc_id: r for r in langmix.predict(docs, names, table).collect()}
