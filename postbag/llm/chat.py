@@ -7,10 +7,13 @@ template rewrites history and the conversation is flagged.  Where the turn's own
 text lies inside its span is found by rendering it once more with a probe character
 in place of the text.  Assistant texts form the loss mask.
 
-Whole prefixes are rendered for the first `PREFIX` turns; later turns are rendered
-after the one before them only, so a conversation of any length is done in linear
-time and with the memory of its first turns.  Conversations are dealt by conv_id
-and sorted, and stream through a task row by row.
+Every whole prefix is rendered and compared with the one before it, so time grows
+with the square of a conversation's length and memory with its length.  Only for a
+template that is declared history-free (a turn's span depends on that turn alone,
+as with `marked`) are whole prefixes rendered for the first `PREFIX` turns and later
+turns after the one before them, in linear time and with the memory of the first
+turns.  Conversations are dealt by conv_id and sorted, and stream through a task
+row by row.
 
 Null texts and roles are empty.  Turns with equal numbers are ordered by role and
 text.  Control strings inside texts are escaped reversibly.  An empty table gives no
@@ -48,24 +51,36 @@ def marked(turns: list[Turn]) -> str:
     return "".join(f"{START}{escape(role).replace(chr(10), '&nl;')}\n{escape(text)}{END}\n" for role, text in turns)
 
 
+def _shared(a: str, b: str) -> int:
+    """Length of the longest common beginning."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
 class Renderer:
     """Feeds one conversation's turns to a template and locates them in its output."""
 
-    def __init__(self, template: Callable[[list[Turn]], str]):
-        self.template, self.turns, self.done, self.rewrites, self.count = template, [], template([]), False, 0
+    def __init__(self, template: Callable[[list[Turn]], str], history_free: bool = False):
+        self.template, self.history_free = template, history_free
+        self.turns, self.done, self.rewrites, self.count = [], template([]), False, 0
 
     def add(self, role: str, text: str) -> tuple[str, int, int]:
         """(span, first and end of the text inside it) of the next turn."""
         self.count += 1
-        if self.count > PREFIX:  # one turn of context
+        if self.history_free and self.count > PREFIX:  # one turn of context
             self.turns = self.turns[-1:]
             self.done = self.template(self.turns)
         whole = self.template([*self.turns, (role, text)])
         probe = self.template([*self.turns, (role, PROBE)])
         if not whole.startswith(self.done):
             self.rewrites = True
-            common_ = next((i for i, (a, b) in enumerate(zip(whole, self.done)) if a != b), min(len(whole), len(self.done)))
-            base = whole[:common_]
+            base = whole[: _shared(whole, self.done)]
         else:
             base = self.done
         span = whole[len(base) :]
@@ -83,8 +98,12 @@ class Renderer:
 SCHEMA = "conv_id long, number long, role string, span string, text_from int, text_to int, loss boolean, rewrites boolean"
 
 
-def render(conversations: DataFrame, template: Callable[[list[Turn]], str] = marked, assistant: str = "assistant") -> DataFrame:
-    """A row per turn in order: its span of the output, where its text lies in it, whether it is under the loss mask."""
+def render(conversations: DataFrame, template: Callable[[list[Turn]], str] = marked, assistant: str = "assistant", history_free: bool | None = None) -> DataFrame:
+    """A row per turn in order: its span of the output, where its text lies in it, whether it is under the loss mask.
+
+    `history_free` declares the template as such; left out, only `marked` counts as it.
+    """
+    free = template is marked if history_free is None else history_free
     common.ship(conversations.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +112,7 @@ def render(conversations: DataFrame, template: Callable[[list[Turn]], str] = mar
             cols: list[list] = [[] for _ in range(8)]
             for conv, role, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if state is None or conv != now:
-                    now, state = conv, Renderer(template)
+                    now, state = conv, Renderer(template, free)
                 role, text = role or "", text or ""
                 span, first, stop = state.add(role, text)
                 for c, x in zip(cols, (conv, state.count - 1, role, span, first, stop, role == assistant, state.rewrites), strict=True):

@@ -140,6 +140,28 @@ def test_rewriting_template_is_found():
     assert r.rewrites
 
 
+def _spans(template, n, **more):
+    r = chat.Renderer(template, **more)
+    return r, [r.add("user", f"t{i}.")[0] for i in range(n)]
+
+
+def test_late_rewrites_are_found(spark):
+    late = lambda turns: ("long:" if len(turns) > 40 else "") + "".join(t for _, t in turns)
+    last = lambda turns: "".join(t for _, t in turns[-35:])
+    for template, first in ((late, 40), (last, 35)):
+        assert not _spans(template, first)[0].rewrites and _spans(template, first + 1)[0].rewrites
+    rows = spark.createDataFrame([(1, i, "user", f"t{i}.") for i in range(41)], "conv_id long, turn long, role string, text string")
+    assert [r.number for r in chat.render(rows, late).where("rewrites").collect()] == [40]
+    assert chat.render(rows.where("turn < 40"), late).where("rewrites").count() == 0
+
+
+def test_late_spans_are_those_of_the_whole_output():
+    numbered = lambda turns: "head " + "".join(f"[{i}]{t}" for i, (_, t) in enumerate(turns))
+    r, spans = _spans(numbered, 50)
+    assert not r.rewrites and spans == [f"[{i}]t{i}." for i in range(50)]
+    assert _spans(chat.marked, 50, history_free=True)[1] == _spans(chat.marked, 50)[1]
+
+
 def test_escape_round_trip():
     for t in ("", "&", "&amp;", "&lt;|", "<|", "<<||>", "&amp;lt;|", SAID):
         assert chat.unescape(chat.escape(t)) == t and "<|" not in chat.escape(t)
