@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postbag.sources.mbox import ATTACHMENTS
+
 
 def save_archive(tables: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
     for name, df in tables.items():
@@ -15,8 +17,41 @@ def address_line(c: Column) -> Column:
     return F.array_join(F.transform(c, lambda a: F.when(a["name"].isNull(), a["email"]).otherwise(F.concat(F.lit('"'), a["name"], F.lit('" <'), a["email"], F.lit(">")))), ", ")
 
 
+def _base64(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.base64(c), r"\s", ""), "(.{76})(?=.)", "$1\n")
+
+
+def _attached(a: Column) -> Column:
+    """An attachment as a MIME part; a message that is text stays readable, all else is base64."""
+    kind = F.concat(F.lit("Content-Type: "), F.coalesce(a["content_type"], F.lit("application/octet-stream")), F.when(a["charset"].isNotNull(), F.concat(F.lit('; charset="'), a["charset"], F.lit('"'))).otherwise(F.lit("")))
+    name = F.replace(F.replace(F.url_encode(F.coalesce(a["filename"], F.lit("attachment"))), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
+    head = F.concat(kind, F.lit("\nContent-Disposition: attachment; filename*=utf-8''"), name, F.lit("\nContent-Transfer-Encoding: "))
+    content = F.coalesce(a["content"], a["text"].cast("binary"), F.lit(b""))
+    text = content.cast("string")
+    readable = (a["content_type"] == "message/rfc822") & F.is_valid_utf8(text)
+    return F.concat(head, F.when(readable, F.concat(F.lit("8bit\n\n"), text)).otherwise(F.concat(F.lit("base64\n\n"), _base64(content))))
+
+
+def _multipart(kind: str, mark: Column, parts: Column) -> Column:
+    """An array of parts as one part."""
+    open_ = F.concat(F.lit("\n--"), mark, F.lit("\n"))
+    head = F.concat(F.lit(f'Content-Type: multipart/{kind}; boundary="'), mark, F.lit('"\n\nThis is a multi-part message in MIME format.'))
+    return F.concat(head, F.array_join(F.transform(parts, lambda x: F.concat(open_, x)), ""), F.lit("\n--"), mark, F.lit("--"))
+
+
+def _content() -> Column:
+    """Plain text, HTML or both, with or without attachments: six kinds of content."""
+    body, html, files = F.coalesce("body", F.lit("")), F.coalesce("text_html", F.lit("")), F.col("attachments")
+    # a mark made of the content's hash does not stand in the content
+    mark = F.sha2(F.concat_ws("\x01", body, html, F.transform(files, lambda a: F.sha1(F.coalesce(a["content"], a["text"].cast("binary"))))), 256)
+    plain = F.concat(F.lit('Content-Type: text/plain; charset="utf-8"\n\n'), body)
+    page = F.concat(F.lit('Content-Type: text/html; charset="utf-8"\nContent-Transfer-Encoding: base64\n\n'), _base64(html.cast("binary")))
+    text = F.when(html == "", plain).when(F.coalesce("has_plain", F.lit(True)), _multipart("alternative", F.concat(F.lit("=_t"), mark), F.array(plain, page))).otherwise(page)
+    return F.when(F.size(files) > 0, _multipart("mixed", F.concat(F.lit("=_m"), mark), F.concat(F.array(text), F.transform(files, _attached)))).otherwise(text)
+
+
 def mbox_text(labels: bool = True) -> Column:
-    """A message as mailbox text, with folder, annotation and label headers."""
+    """A message as mailbox text, with folder, annotation and label headers, all text parts and attachments."""
     none = F.lit(None).cast("string")
     head = [
         F.concat(F.lit("From - "), F.date_format("date", "EEE MMM dd HH:mm:ss yyyy")),
@@ -28,12 +63,19 @@ def mbox_text(labels: bool = True) -> Column:
     ]
     if labels:
         head += [F.when(F.col("annotation") != "", F.concat(F.lit("X-Archive-Annotation: "), F.regexp_replace("annotation", r"\s+", " "))), F.when(F.size("label_names") > 0, F.concat(F.lit("X-Archive-Labels: "), F.array_join("label_names", "; ")))]
-    body = F.regexp_replace(F.coalesce("body", F.lit("")), r"(?m)^(>*From )", ">$1")
-    return F.concat(F.concat_ws("\n", *head, F.lit('Content-Type: text/plain; charset="utf-8"')), F.lit("\n\n"), body, F.lit("\n"))
+    content = F.regexp_replace(_content(), r"(?md)^(>*From )", ">$1")
+    return F.concat(F.concat_ws("\n", *head, F.lit("MIME-Version: 1.0")), F.lit("\n"), content, F.lit("\n"))
 
 
 def write_mbox(messages: DataFrame, path: str, labels: bool = True) -> None:
-    """A folder of mailbox text per mail folder, messages in order of date."""
+    """A folder of mailbox text per mail folder, messages in order of date.
+
+    HTML and attachments are written as they are: a redacted copy must have them
+    redacted or taken out before.
+    """
+    for name, kind in (("has_plain", "boolean"), ("text_html", "string"), ("attachments", ATTACHMENTS)):
+        if name not in messages.columns:
+            messages = messages.withColumn(name, F.lit(None).cast(kind))
     out = messages.select("folder", "date", mbox_text(labels).alias("text"))
     out.repartition("folder").sortWithinPartitions("folder", "date").select("folder", "text").write.mode("overwrite").partitionBy("folder").text(path)
 

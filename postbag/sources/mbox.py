@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import email
 import email.header
 import email.policy
@@ -16,12 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ADDRESS = "array<struct<name:string,email:string>>"
+ATTACHMENTS = "array<struct<filename:string,content_type:string,charset:string,size:bigint,sha1:string,text:string,content:binary>>"
 SCHEMA = (
     f"folder string, message_id string, date timestamp, hacky_date boolean, subject string, `from` {ADDRESS}, `to` {ADDRESS}, cc {ADDRESS}, bcc {ADDRESS}, list_post string, "
-    "body string, text_html string, headers string, attachments array<struct<filename:string,content_type:string,size:bigint,sha1:string,text:string>>"
+    f"body string, has_plain boolean, text_html string, headers string, attachments {ATTACHMENTS}"
 )
 #: Stand-in for a date that is missing or out of range.
 INVALID = datetime(1960, 1, 1)
+#: Messages of this size together, or 500, go on at once: attachments are rows' content.
+BATCH_BYTES = 16_000_000
 
 
 def _addresses(msg, name: str) -> list[dict]:
@@ -67,20 +71,22 @@ def parse_message(raw: bytes, folder: str) -> dict:
         name = part.get_filename()
         if kind == "message/rfc822":
             inner = part.get_payload(0).as_bytes() if part.is_multipart() else part.get_payload(decode=True) or b""
-            keep(name or "message.eml", kind, inner, inner.decode("utf-8", "replace"))
+            if part.is_multipart() and str(part.get("Content-Transfer-Encoding") or "").strip().lower() == "base64":
+                inner = base64.b64decode(inner)
+            keep(part, name or "message.eml", kind, inner, inner.decode("utf-8", "replace"))
         elif part.is_multipart():
             for p in part.get_payload():
                 walk(p)
-        elif name or part.get_content_disposition() == "attachment":
+        elif name or part.get_content_disposition() == "attachment" or not kind.startswith("text/"):
             data = part.get_payload(decode=True) or b""
-            keep(name or "attachment" + {"image/jpeg": ".jpg", "image/png": ".png", "application/pdf": ".pdf", "text/plain": ".txt"}.get(kind, ""), kind, data, _payload(part) if kind.startswith("text/") else None)
+            keep(part, name or "attachment" + {"image/jpeg": ".jpg", "image/png": ".png", "application/pdf": ".pdf", "text/plain": ".txt"}.get(kind, ""), kind, data, _payload(part) if kind.startswith("text/") else None)
         elif kind == "text/html":
             html.append(_payload(part))
         elif kind.startswith("text/"):
             plain.append(_payload(part))
 
-    def keep(name: str, kind: str, data: bytes, text: str | None) -> None:
-        files.append({"filename": name, "content_type": kind, "size": len(data), "sha1": hashlib.sha1(data).hexdigest(), "text": text})
+    def keep(part, name: str, kind: str, data: bytes, text: str | None) -> None:
+        files.append({"filename": name, "content_type": kind, "charset": part.get_content_charset(), "size": len(data), "sha1": hashlib.sha1(data).hexdigest(), "text": text, "content": data})
 
     walk(msg)
     when, hacky = _date(msg)
@@ -90,7 +96,7 @@ def parse_message(raw: bytes, folder: str) -> dict:
         "folder": folder, "message_id": (str(msg.get("Message-ID") or "")).strip() or None, "date": when, "hacky_date": hacky,
         "subject": _decoded(msg, "subject"),
         "from": _addresses(msg, "From"), "to": _addresses(msg, "To"), "cc": _addresses(msg, "Cc"), "bcc": _addresses(msg, "Bcc"),
-        "list_post": msg.get("List-Post"), "body": body, "text_html": page or None,
+        "list_post": msg.get("List-Post"), "body": body, "has_plain": any(plain), "text_html": page or None,
         "headers": "\n".join(f"{k}: {v}" for k, v in msg.items()), "attachments": files,
     }
 
@@ -110,9 +116,15 @@ def read_mbox(spark: SparkSession, path: str) -> DataFrame:
         for f in frames:
             for name, data in zip(f["path"], f["content"], strict=True):
                 folder = name.rpartition("/")[2]
-                rows = [parse_message(m, folder) for m in split_mailbox(bytes(data))]
-                for i in range(0, len(rows), 500):
-                    yield pd.DataFrame(rows[i : i + 500])
+                rows, held = [], 0
+                for m in split_mailbox(bytes(data)):
+                    rows.append(parse_message(m, folder))
+                    held += len(m)
+                    if len(rows) == 500 or held > BATCH_BYTES:
+                        yield pd.DataFrame(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield pd.DataFrame(rows)
 
     got = files.mapInPandas(run, SCHEMA)
     names = lambda c: F.array_join(F.transform(c, lambda a: a["email"]), ",")

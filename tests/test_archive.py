@@ -1,4 +1,6 @@
 import os
+import re
+from email.message import EmailMessage
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +74,56 @@ def test_mbox_round_trip(spark, mail, tmp_path):
     assert key(again) == key(mail)
 
 
+def _eml(*files, plain=None, html=None):
+    m = EmailMessage()
+    m["From"], m["Subject"], m["Date"] = "ann@x.org", f"{plain is not None} {html is not None} {len(files)}", "Mon, 01 Jan 2001 10:00:00 +0000"
+    if plain is not None:
+        m.set_content(plain)
+    if html is not None:
+        (m.set_content if plain is None else m.add_alternative)(html, subtype="html")
+    for name, kind, data in files:
+        m.add_attachment(data, *kind.split("/"), filename=name) if isinstance(data, bytes) else m.add_attachment(data, filename=name)
+    return b"From - Mon Jan 01 00:00:00 2001\n" + re.sub(rb"(?m)^(>*From )", rb">\1", m.as_bytes()) + b"\n"
+
+
+def test_mbox_round_trip_keeps_html_and_attachments(spark, tmp_path):
+    inner = EmailMessage()
+    inner["Subject"], inner["From"] = "inner", "cy@z.org"
+    inner.set_content("inside\nlines\n")
+    files = [("a b*+é'.bin", "application/octet-stream", bytes(range(256)) * 5), ("n.txt", "text/plain", b"x\r\nFrom y\n--b\n"), ("empty.pdf", "application/pdf", b""), ("m.eml", "message/rfc822", inner)]
+    plain, html = "Hi \u2028From there\nFrom here\n", "<p>From <b>é</b></p>\nFrom html\n"
+    kinds = [_eml(*f, plain=p, html=h) for f in ([], files) for p, h in ((plain, None), (None, html), (plain, html))]
+    russian = b'From - x\nFrom: r@x\nSubject: koi\nContent-Type: multipart/mixed; boundary="q"\n\n--q\nContent-Type: text/plain; charset=koi8-r; name="r.txt"\n\n\xd0\xd2\xc9\n--q\nContent-Type: image/png\nContent-Transfer-Encoding: base64\n\niVBO\n--q--\n'
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "box").write_bytes(b"".join([*kinds, russian]))
+    first = mbox.read_mbox(spark, str(tmp_path / "in"))
+    rows = first.withColumn("annotation", F.lit("")).withColumn("label_names", F.expr("cast(array() as array<string>)"))
+    export.write_mbox(rows, str(tmp_path / "out"))
+    again = mbox.read_mbox(spark, str(tmp_path / "out"))
+    key = lambda df: {r.subject: (r.body.rstrip("\n"), r.has_plain, r.text_html, [tuple(a) for a in r.attachments]) for r in df.collect()}
+    want = key(first)
+    assert len(want) == 7 and [len(want[s][3]) for s in ("True False 4", "False True 4", "True True 4", "koi")] == [4, 4, 4, 2]
+    assert bytes(want["True True 4"][3][0][-1]) == files[0][2] and want["koi"][3][0][5] == "при"
+    assert key(again) == want
+
+
+def test_mbox_of_rows_without_parts_or_content(spark, tmp_path):
+    bare = spark.sql("select 'f' as folder, timestamp '2001-01-01' as date, 's' as subject, cast(null as string) as message_id, 'b' as body, '' as annotation, cast(array() as array<string>) as label_names")
+    for n in ("from", "to", "cc", "bcc"):
+        bare = bare.withColumn(n, F.expr("array(named_struct('name', cast(null as string), 'email', 'a@b'))"))
+    export.write_mbox(bare, str(tmp_path / "a"))
+    odd = bare.withColumn("text_html", F.lit("<p>")).withColumn("attachments", F.expr("array(named_struct('filename', null, 'content_type', null, 'charset', null, 'size', 1, 'sha1', null, 'text', 't', 'content', null))").cast(mbox.ATTACHMENTS))
+    export.write_mbox(odd, str(tmp_path / "b"))
+    a, b = (mbox.read_mbox(spark, str(tmp_path / n)).first() for n in "ab")
+    assert a.body.strip() == "b" and a.attachments == [] and a.text_html is None
+    assert b.body == "b" and b.text_html == "<p>" and bytes(b.attachments[0].content) == b"t"
+
+
+def test_attached_message_in_base64():
+    raw = b'From: a@b\nContent-Type: multipart/mixed; boundary="q"\n\n--q\nContent-Type: message/rfc822\nContent-Transfer-Encoding: base64\n\nU3ViamVjdDogeAoK/w==\n--q--\n'
+    assert mbox.parse_message(raw, "f")["attachments"][0]["content"] == b"Subject: x\n\n\xff"
+
+
 def test_search_on_mail(mail):
     t = {"messages": mail.withColumn("email_source", F.lit("x"))}
     assert search(t, SearchSpec(term="hello")).count() == 1
