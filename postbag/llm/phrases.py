@@ -9,8 +9,11 @@ returned is exact.  Only built-in expressions are used.
 
 Words are runs of letters A-Z (lower-cased), digits and all characters outside
 ASCII.  Null or empty texts have no words: such documents have n_words 0, such items
-no window.  An item of fewer words than a window is one window.  Items with equal
-texts are each reported.  Empty tables give counts of 0 or no rows.
+no window.  An item of fewer words than a window is one window.  Items are told
+apart by a 128-bit hash of their words; item_id is only reported.  So items with
+equal texts are each reported, texts under one item_id are each searched, and the
+passages of an item without item_id are hits that no item is named for.  Empty
+tables give counts of 0 or no rows.
 """
 
 from __future__ import annotations
@@ -57,8 +60,10 @@ def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
 
 
 def items_of(benchmark: DataFrame, key: str = "item_id") -> DataFrame:
-    """(item, words) with words lower-cased, items without words left out."""
-    return benchmark.select(F.col(key).alias("item"), F.transform(split_words(), lower_az).alias("words")).where(F.size("words") > 0)
+    """(item, words, names): a row per text with words lower-cased and the ids it stands under; items without words left out."""
+    rows = benchmark.select(F.col(key).cast("string").alias("name"), F.transform(split_words(), lower_az).alias("words")).where(F.size("words") > 0)
+    keyed = rows.select(F.unhex(F.md5(F.array_join("words", " "))).alias("item"), "words", "name")
+    return keyed.groupBy("item").agg(F.first("words").alias("words"), F.collect_set("name").alias("names"))
 
 
 def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -100,23 +105,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
     same = (F.col("i.t1") == F.col("p.t1")) & F.col("i.t2").eqNullSafe(F.col("p.t2"))
     aligned = index.alias("i").join(pairs.alias("p"), same).select("i.doc_id", "p.item", (F.col("i.place") - F.col("p.at")).alias("shift")).distinct()
-    listed = aligned.join(items, "item").groupBy("doc_id").agg(F.collect_list(F.struct("item", "shift", "words")).alias("found"))
+    listed = aligned.join(items, "item").groupBy("doc_id").agg(F.collect_list(F.struct("names", "shift", "words")).alias("found"))
 
     # places of an item whose word stands in the document at shift + place; runs of a window's length are hits
     runs = f"""
-      transform(found, f -> struct(f.item as item, f.shift as shift, size(f.words) as m,
+      transform(found, f -> struct(f.names as names, f.shift as shift, size(f.words) as m,
         filter(transform(f.words, (x, j) -> if(get(w, f.shift + j) <=> x, -1, j)), j -> j >= 0) as misses))"""
     # between two misses (or an end) lies a run; it counts if it is as long as a window or as a shorter item
     spans = f"""
       flatten(transform(r, f -> filter(
-        transform(array_append(f.misses, f.m), (x, k) -> struct(f.item as item, f.shift + if(k = 0, 0, f.misses[k - 1] + 1) as lo, f.shift + x as hi, f.m as m)),
+        transform(array_append(f.misses, f.m), (x, k) -> struct(f.names as names, f.shift + if(k = 0, 0, f.misses[k - 1] + 1) as lo, f.shift + x as hi, f.m as m)),
         s -> s.hi - s.lo >= least({window}, s.m))))"""
     # rows: a document, its words only once, hits as spans
     joined = docs.join(listed, "doc_id", "left").select("doc_id", split_words().alias("raw"), "found")
     lowered = joined.select("doc_id", F.size("raw").cast("long").alias("n_words"), "found", F.when(F.col("found").isNotNull(), F.transform("raw", lower_az)).alias("w"))
     spanned = lowered.select("doc_id", "n_words", F.when(F.col("found").isNotNull(), F.expr(f"transform(array({runs}), r -> {spans})[0]")).alias("s"))
     hits = F.when(F.col("s").isNull(), F.lit(0)).otherwise(F.expr("size(array_distinct(flatten(transform(s, x -> sequence(x.lo, x.hi - 1)))))")).cast("long")
-    names = F.coalesce(F.expr("array_sort(array_distinct(transform(s, x -> cast(x.item as string))))"), F.expr("cast(array() as array<string>)"))
+    names = F.coalesce(F.expr("array_sort(array_distinct(flatten(transform(s, x -> x.names))))"), F.expr("cast(array() as array<string>)"))
     return spanned.select("doc_id", "n_words", hits.alias("n_hit"), names.alias("items")).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 

@@ -98,6 +98,16 @@ def test_decontamination(spark, docs):
     assert got == want
 
 
+def test_decontamination_of_items_without_or_with_shared_ids(spark):
+    words = lambda c, n: [f"{c}{i}" for i in range(n)]
+    one, two, none = words("a", 30), words("b", 14), words("n", 12)
+    items = spark.createDataFrame([(7, " ".join(one)), (7, " ".join(two)), (None, " ".join(none)), (8, " ".join(two))], "item_id long, text string")
+    texts = [" ".join(x) for x in (one[20:], one[:10], two[:10], two[4:], none[1:11], none[:9])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, list(r["items"]), r.contaminated) for r in phrases.contaminated(docs, items).collect()}
+    assert got == {0: (10, 1, ["7"], True), 1: (10, 1, ["7"], True), 2: (10, 2, ["7", "8"], True), 3: (10, 2, ["7", "8"], True), 4: (10, 0, [], True), 5: (0, 0, [], False)}
+
+
 def test_decontamination_without_items(spark, docs):
     none = spark.createDataFrame([(1, None)], "item_id long, text string")
     assert phrases.contaminated(docs, none).where("contaminated").count() == 0
