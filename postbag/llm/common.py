@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _FALLBACK: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the session (`spark.checkpoint.dir`).
 
-    Only where it is unset, as in local tests, is a temporary folder made.
+    Only where it is unset and the master is local, as in tests, is a temporary folder
+    made; on a cluster an unset folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="postbag-")
@@ -40,6 +44,7 @@ def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/postbag-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     writer = df.write
     if codec:
         writer = writer.option("compression", codec)
@@ -47,6 +52,16 @@ def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Delete the tables that this application has written; frames read from them end with it."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        place = jvm.org.apache.hadoop.fs.Path(p)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable by Python workers that do not share the driver's path."""
     on_path = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(":")]
@@ -68,7 +83,7 @@ def ship(spark: SparkSession) -> None:
     _FALLBACK[f"zip-{app}"] = archive
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `limit` bytes of `column` (one row at least)."""
     for batch in batches:
         if batch.num_rows == 0:

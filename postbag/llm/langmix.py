@@ -9,8 +9,12 @@ of languages times the log of the number of words) does not fall.  The predictio
 is the language with the largest share of the set that is left.
 
 Texts that are null, empty or have no letter are `und` with score 0.  Whole texts
-are read; equal texts have equal predictions.  With no usable training row all
-predictions are `und`.
+are read; equal texts have equal predictions, whatever stands beside them.  With no
+usable training row all predictions are `und`.  An empty table gives no rows; rows of
+null doc_id are predicted, not learned from; repeated rows are predicted each for
+itself.  A very long text is one step of a worker (tens of bytes of memory a byte).
+Languages with equal shares rank by name.  Other columns than doc_id, text and the
+language are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,26 +39,32 @@ _FOLD[128:] = np.arange(128, 256)
 
 
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Folded bytes of all texts, each with a space before it, and where each begins."""
+    """Folded bytes of all texts, each with a space before it and two after it, so that
+    no trigram reaches into the next text, and where each begins."""
     texts = common.plain(texts).fill_null("").cast(pa.large_string())
     off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[off[0] : off[-1]] if raw is not None else np.zeros(0, np.uint8)
-    bounds = off - off[0] + np.arange(len(off))
+    bounds = off - off[0] + 3 * np.arange(len(off))
     out = np.full(int(bounds[-1]) + 2, 32, np.uint8)
     keep = np.ones(int(bounds[-1]), bool)
-    keep[bounds[:-1]] = False
+    keep[bounds[:-1]] = keep[bounds[1:] - 1] = keep[bounds[1:] - 2] = False
     out[: len(keep)][keep] = _FOLD[data]
     return out, bounds
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
-    """The bucket of the trigram at each byte; -1 where only spaces stand."""
+    """The bucket of the trigram at each byte."""
     a, b, c = (data[i : len(data) - 2 + i].astype(np.uint32) for i in range(3))
     g = (a * np.uint32(2654435761) + b * np.uint32(40503 * 65537) + c * np.uint32(2246822519)) >> np.uint32(32 - BITS)
     return g.astype(np.int32)
 
 
+def _inner(data: np.ndarray) -> np.ndarray:
+    """Places whose trigram counts: those that begin with two spaces lie between words or texts."""
+    return (data[:-2] != 32) | (data[1:-1] != 32)
+
+
 def has_letter(texts: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 
@@ -73,10 +83,11 @@ def fit(docs: DataFrame, lang: str = "lang", fit_rows: int = FIT_ROWS) -> tuple[
         for b in common.slices(batches, "text"):
             langs = np.array(b.column("lang").to_pylist(), object)
             data, bounds = _bytes(b.column("text"))
-            grams = _grams(data)
-            row = np.repeat(np.arange(len(langs)), np.diff(bounds))
+            inner = _inner(data)
+            grams = _grams(data)[inner]
+            row = np.repeat(np.arange(len(langs)), np.diff(bounds))[inner]
             for name in set(langs.tolist()):
-                found = np.bincount(grams[: bounds[-1]][(langs == name)[row]], minlength=1 << BITS)
+                found = np.bincount(grams[(langs == name)[row]], minlength=1 << BITS)
                 held[name] = held.get(name, 0) + found
         for name, found in held.items():
             at = np.flatnonzero(found)
@@ -97,7 +108,7 @@ def infer(texts: pa.Array, table: np.ndarray, steps: int = STEPS) -> tuple[np.nd
     data, bounds = _bytes(texts)
     n_docs, k = len(bounds) - 1, len(table)
     end = int(bounds[-1])
-    grams = _grams(data)[:end]
+    grams, inner = _grams(data)[:end], _inner(data)[:end]
     solid = data[1 : end + 1] != 32
     first = np.flatnonzero((data[:end] == 32) & solid)  # the space before each word
     doc = np.searchsorted(bounds, first, "right") - 1
@@ -106,8 +117,7 @@ def infer(texts: pa.Array, table: np.ndarray, steps: int = STEPS) -> tuple[np.nd
     kept = np.ones((n_docs, k), bool)
     if not len(first):
         return share, kept, words
-    # runs of spaces give their trigrams to the word before them; they weigh all languages alike
-    loglik = np.stack([np.add.reduceat(row[grams], first) for row in table])
+    loglik = np.stack([np.add.reduceat(np.where(inner, row[grams], 0), first) for row in table])
     top = loglik.max(0)
     like = np.exp(np.maximum(loglik - top, -60)).astype(np.float32)
     some = np.flatnonzero(words)

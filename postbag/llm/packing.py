@@ -55,6 +55,21 @@ def price(value: np.ndarray, width: np.ndarray, room: int) -> tuple[float, np.nd
     return float(best[room]), counts
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """By elimination with row pivots, in plain array operations: threaded solvers can
+    stand still in a process that has forked, as a driver has."""
+    n = len(matrix)
+    work = np.hstack([matrix, np.eye(n)])
+    for i in range(n):
+        top = i + int(np.abs(work[i:, i]).argmax())
+        work[[i, top]] = work[[top, i]]
+        work[i] /= work[i, i]
+        factor = work[:, i].copy()
+        factor[i] = 0
+        work -= factor[:, None] * work[i]
+    return work[:, n:]
+
+
 def solve(width: np.ndarray, demand: np.ndarray, room: int, gap: float = 2e-3, most: int = 1500) -> tuple[np.ndarray, np.ndarray]:
     """Column generation: (patterns, one a row; times each is used, fractional).
 
@@ -63,13 +78,13 @@ def solve(width: np.ndarray, demand: np.ndarray, room: int, gap: float = 2e-3, m
     m = len(width)
     basis = np.diag(room // width).astype(float)  # columns are patterns
     inverse = np.diag(1.0 / (room // width))
-    use = inverse @ demand
+    use = (inverse * demand).sum(1)
     for step in range(most):
         dual = inverse.sum(0)
         worth, column = price(dual, width, room)
         if worth <= 1 + gap:
             break
-        direction = inverse @ column
+        direction = (inverse * column).sum(1)
         ok = direction > 1e-9
         ratio = np.where(ok, use / np.where(ok, direction, 1), np.inf)
         leave = int(ratio.argmin())
@@ -81,8 +96,8 @@ def solve(width: np.ndarray, demand: np.ndarray, room: int, gap: float = 2e-3, m
         inverse -= np.outer(direction, row)
         inverse[leave] = row
         if step % 200 == 199:
-            inverse = np.linalg.inv(basis)
-            use = np.maximum(inverse @ demand, 0)
+            inverse = _inverse(basis)
+            use = np.maximum((inverse * demand).sum(1), 0)
     return basis.T.round().astype(np.int64), use
 
 

@@ -9,7 +9,11 @@ determinants) and log priors, scaled by a slope fitted on the same rows.
 
 Null and empty texts have zero statistics and are scored like any other vector.
 Whole texts are read; equal texts have equal scores.  If a class has no training
-row the score is the share of the other.
+row the score is the share of the other; without labels it is 0.5.  An empty table
+gives no rows; a row of null doc_id is scored, not learned from; repeated rows are
+scored each for itself.  A very long text is one step of a worker, about sixty bytes
+of memory for each of its bytes.  Columns other than doc_id and text are not read,
+whatever their names (`carry` hands them on; they must not be called `_score`).
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from postbag.llm import common
 from postbag.llm.tokens import Words
@@ -99,7 +104,7 @@ class Discriminant:
         self.centre, self.spread = x.mean(0), np.maximum(x.std(0), 1e-6)
         z = (x - self.centre) / self.spread
         parts = [z[y == c] for c in (0, 1)]
-        covs = [(p - p.mean(0)).T @ (p - p.mean(0)) for p in parts]
+        covs = [np.einsum("ij,ik->jk", p - p.mean(0), p - p.mean(0)) for p in parts]  # no threaded product in a driver that has forked
         pooled = sum(covs) / max(1, len(z) - 2)
         self.mean, self.root, self.constant = [], [], []
         for p, s in zip(parts, covs, strict=True):
@@ -160,24 +165,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     share = min(1.0, fit_rows / max(1, known.count()))
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))
-    rows = common.doc_ids_and_text(docs).where(chosen).join(known.where(chosen).dropDuplicates(["doc_id"]), "doc_id").select("doc_id", "text", "y")
+    # a document under several labels counts as the lowest of them
+    wanted = known.where(chosen).groupBy("doc_id").agg(F.min("y").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, "text"):
             x = statistics(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id")
+    # statistics before the join: no text is shuffled
+    rows = common.doc_ids_and_text(docs).where(chosen).mapInArrow(run, "doc_id long, x array<double>")
+    got = rows.join(wanted, "doc_id").toPandas()
+    got = got.iloc[sorted(range(len(got)), key=lambda i: (got["doc_id"].iloc[i], tuple(got["x"].iloc[i])))]
     x = np.array(got["x"].tolist(), float).reshape(-1, len(NAMES))
     return train(x, got["y"].to_numpy())
 
 
-def score(docs: DataFrame, model: Discriminant | Constant) -> DataFrame:
-    """doc_id, score of every whole text."""
+def score(docs: DataFrame, model: Discriminant | Constant, carry: bool = False) -> DataFrame:
+    """doc_id, score of every whole text; with `carry` all columns of `docs` and `_score`."""
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.scores(statistics(b.column("text"))))], names=["doc_id", "score"])
+            own = pa.array(model.scores(statistics(b.column("text"))))
+            columns, names = (b.columns, b.schema.names) if carry else ([b.column("doc_id")], ["doc_id"])
+            yield pa.RecordBatch.from_arrays([*columns, own], names=[*names, "_score" if carry else "score"])
 
+    if carry:
+        return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
     return common.doc_ids_and_text(docs).mapInArrow(run, "doc_id long, score double")
