@@ -2,6 +2,13 @@
 
 Each stage is a function of (spark, docs, sf_dir); all but the last return the
 columns of documents.  `run` applies them to documents, each written and read again.
+
+Rows are judged each for itself by the classifier and the rules, so repeated rows
+and rows of null doc_id get their own verdict.  Null and empty texts go with the
+rules (no words).  Near-duplicates and decontamination name documents by doc_id:
+rows of null doc_id cannot be named and stay.  An empty table stays empty.  Columns
+other than doc_id and text pass through unread; they must not be called `_row` or
+`_score`.
 """
 
 from __future__ import annotations
@@ -20,26 +27,25 @@ VOCABULARY, END, SIZE = "word_bpe_49k.json", 1, 2048
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the discriminant scores 0.5 or more."""
     model = qda.fit(docs, table(spark, sf_dir, "labels"), "quality")
-    good = qda.score(docs, model).where(F.col("score") >= 0.5).select(F.col("doc_id").alias("_id"))
-    return docs.join(good.distinct(), docs.doc_id == F.col("_id"), "left_semi")
+    return qda.score(docs, model, carry=True).where(F.col("_score") >= 0.5).drop("_score")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the base check and all rules let pass."""
-    good = rules.judge(docs).where("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(good.distinct(), docs.doc_id == F.col("_id"), "left_semi")
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    return rules.judge(whole, carry=("_row",)).where("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id of each group."""
-    first = neardup.cluster(docs, SHINGLE, PERCENT).where("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(first.distinct(), docs.doc_id == F.col("_id"), "left_semi")
+    gone = neardup.cluster(docs, SHINGLE, PERCENT).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
-    clean = phrases.contaminated(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(F.col("doc_id").alias("_id"))
-    return docs.join(clean.distinct(), docs.doc_id == F.col("_id"), "left_semi")
+    gone = phrases.contaminated(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
+    return docs.join(written(gone, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
