@@ -1,24 +1,33 @@
 """Token-ID output in a context-mixing range-coded block format.
 
 Ids are cut into blocks of `block` ids.  A block starts with fresh models and has
-its own CRC-32, so it can be read alone and damage stays inside it.  For each id
-three predictions are mixed:
-
-* order 2: the id that last followed the same two ids, with a confidence;
-* order 1: the id that last followed the same id, with a confidence;
-* order 0: adaptive counts of the high part of the id (id // 256, recounted every
-  `REFRESH` ids), the low byte being uniform within it.
-
-The two confidences and whether both agree select a set of adaptive mixing
-weights, learned from how often each prediction was right; the weights split the range into "order 2 was right", "order 1 was
-right" and "other", and an id of the last kind is coded by order 0.  An
-arithmetic coder with a 48-bit range and 16-bit digits writes both decisions.
-
-All blocks of a segment are coded in lockstep: position t of every block is one
-numpy step, so the models run at array speed although each is sequential.
+its own CRC-32, so it can be read alone and damage stays inside it.  Each id is
+coded under a mixture of four predictions:
+
+* order 2: the id that last followed the same two ids;
+* order 1: the id that last followed the same id;
+* order 0: the counts of all ids of the block so far (recounted at `epochs`);
+* novel: adaptive counts of the high part of ids that order 0 did not hold (id //
+  256), the low byte being uniform within it.
+
+Orders 1 and 2 keep their successors in slots with a context tag (exact for order 1,
+12 bits beyond the slot for order 2); a slot of another context predicts nothing.
+How often each successor was right in a row, and whether both orders name the same
+id, select one of 32 sets of mixing weights.  Weights follow how often each
+prediction was right (recounted every `REFRESH` ids), so the mixture adapts.  An id
+that order 2 names is coded in order 2's share, else in order 1's, else in order 0's,
+else as novel.  An arithmetic coder with a 62-bit range and 32-bit digits writes it.
+
+All blocks of a segment are coded side by side: place t of every block is one numpy
+step.  The writer knows all ids, so its models are computed for whole segments by
+sorting, and only the arithmetic goes step by step; the reader's models go in step.
 
 Empty documents are legal (length 0, or just the end id); an empty table gives an
-empty file; ids from 0 to 65,535 are coded, larger ones are refused.
+empty file; ids from 0 to 65,535 are coded, larger ones are refused.  Rows of null
+doc_id have no place in the order and are left out; rows of equal doc_id stand one
+after the other, by text.  A very long text is encoded in one step (tens of bytes of
+memory for each of its bytes) and runs over as many blocks as it needs.  Columns
+other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,206 +44,388 @@ from pyspark.sql import functions as F
 from postbag.llm import common
 from postbag.llm.tokens import encoder, vocabulary_path
 
-MAGIC = b"PBRC1\0"
+MAGIC = b"PBRC2\0"
 BLOCK = 4096
 #: Ids of a segment after which it is closed; it is coded in one go.
 SEGMENT = 4 << 20
 REFRESH = 128
-_H1, _H2 = 1 << 11, 1 << 12
-_TOP, _LOW = np.int64(1) << 48, np.int64(1) << 32
+#: Bits of the slot number of orders 1 and 2.
+_B1, _B2 = 11, 12
 _STATES = 32
+_TOP, _LOW, _MASK = np.int64(1) << 62, np.int64(1) << 30, (1 << 30) - 1
+#: Blocks whose models the writer computes at a time.
+_GROUP = 64
+#: First guesses of how often order 2, order 1, order 0, none is right.
+_PRIOR = np.array([8, 5, 12, 6], np.int32)
+_FLOOR = 16
+
+
+def epochs(block: int) -> list[int]:
+    """Places at which order 0 counts anew: close together at first, then every 1,024 ids, to 2,048."""
+    return [e for e in (0, 64, 256, 1024, 2048) if e < block]
+
+
+def _contexts(p1: np.ndarray, p2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(slot, tag) of order 1 and of order 2, from the last id and the one before."""
+    h1 = p1 * 40503
+    h1 &= 0xFFFF  # odd factor: one to one
+    h2 = p1 * 0x9E3779B1
+    h2 += p2 * 0x85EBCA77
+    h2 >>= 8
+    return h1 >> (16 - _B1), h1 & ((1 << (16 - _B1)) - 1), (h2 >> 12) & ((1 << _B2) - 1), h2 & 0xFFF
+
+
+class _Weights:
+    """Adaptive mixing weights of `n` blocks, as upper ends of the shares (of 4,096) by state."""
+
+    def __init__(self, n: int):
+        self.right = np.tile(_PRIOR, (n * _STATES, 1))
+        state = np.tile(np.arange(_STATES), n)
+        s2, s1, agree = state >> 3, (state >> 1) & 3, state & 1
+        self.on = np.ones((n * _STATES, 4), bool)
+        self.on[:, 0], self.on[:, 1] = s2 > 0, (s1 > 0) & (agree == 0)
+
+    def ends(self, seen: bool) -> np.ndarray:
+        """Ends of the shares of orders 2, 1 and 0, 13 bits each; order 0 has none before anything was seen."""
+        on = self.on if seen else self.on & np.array([True, True, False, True])
+        right = self.right * on
+        share = (right * np.int32(4096 - 4 * _FLOOR) // right.sum(1, dtype=np.int32)[:, None] + _FLOOR) * on
+        a = share[:, 0].astype(np.int64)
+        b = a + share[:, 1]
+        return a | b << 13 | (b + share[:, 2]) << 26
+
+    def learn(self, cells: np.ndarray) -> None:
+        """Count cells (state of a block times four, plus kind); old counts fade."""
+        self.right += np.bincount(cells, minlength=self.right.size).astype(np.int32).reshape(-1, 4)
+        old = self.right.sum(1) > 400
+        self.right[old] = (self.right[old] + 1) >> 1
 
 
-class _Models:
-    """The models of `n` blocks side by side."""
+class _Novel:
+    """Adaptive counts of the high part of novel ids."""
 
     def __init__(self, n: int):
-        self.t1 = np.zeros(n * _H1, np.int32)  # id, and above it a confidence from 0 to 3
-        self.t2 = np.zeros(n * _H2, np.int32)
-        lane = np.arange(n, dtype=np.int64)
-        self.lane, self.base1, self.base2, self.base_state = lane, lane * _H1, lane * _H2, lane * _STATES
-        #: How often order 2, order 1 alone, or neither was right, by state.
-        self.right = np.tile(np.array([[10, 6, 16]], np.int32), (n * _STATES, 1))
-        self.flat_right = self.right.reshape(-1)
-        self.count = np.ones(n * 256, np.int32)
-        self.base_count = lane * 256
+        self.count = np.ones((n, 256), np.int32)
         self.cum = np.zeros((n, 257), np.int32)
-        self.flat_cum = self.cum.reshape(-1)
-        self.base_cum = lane * 257
-        self.p1 = np.zeros(n, np.int64)
-        self.p2 = np.zeros(n, np.int64)
         self.refresh()
 
     def refresh(self) -> None:
-        """New mixing weights (of 4,096; 16 at least each) and order-0 shares from the counts."""
-        total = self.right.sum(1)
-        self.w2 = 16 + self.right[:, 0] * 4032 // total
-        self.w1 = 16 + self.right[:, 1] * 4032 // total
-        old = total > 400
-        self.right[old] = (self.right[old] + 1) >> 1
-        count = self.count.reshape(-1, 256)
-        freq = count * np.int32(4096 - 256) // count.sum(1, dtype=np.int32)[:, None]
-        freq += 1
-        freq[self.lane, count.argmax(1)] += 4096 - freq.sum(1, dtype=np.int32)
+        freq = self.count * np.int32(4096 - 256) // self.count.sum(1, dtype=np.int32)[:, None] + 1
+        freq[np.arange(len(freq)), freq.argmax(1)] += 4096 - freq.sum(1, dtype=np.int32)
         np.cumsum(freq, axis=1, out=self.cum[:, 1:])
 
     def slots(self) -> np.ndarray:
         """The high part at each of the 4,096 places, for decoding."""
         return np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(self.cum)), np.diff(self.cum, axis=1).ravel())
 
-    def predict(self, k: int):
-        """Places in the tables, entries, candidates, weights and state of each block."""
-        m = self.p1[:k] * 40503
-        i1 = (m >> 4) & (_H1 - 1)
-        i1 += self.base1[:k]
-        m += self.p2[:k] * 60493
-        m >>= 5
-        m &= _H2 - 1
-        m += self.base2[:k]
-        e1, e2 = self.t1.take(i1), self.t2.take(m)
-        c1, c2 = e1 & 0xFFFF, e2 & 0xFFFF
-        agree = c1 == c2
-        state = ((e2 >> 16) << 3) + ((e1 >> 16) << 1) + agree + self.base_state[:k]
-        return i1, m, e1, e2, c1, c2, state, self.w2.take(state), self.w1.take(state) * ~agree
-
-    def update(self, k: int, found, ids, hit2, kind) -> None:
-        """Teach all models the ids; kind: 0 order 2 was right, 1 order 1 alone, 2 neither."""
-        i1, i2, e1, e2, c1, c2, state, _, _ = found
-        for table, index, e, c, hit in ((self.t1, i1, e1, c1, c1 == ids), (self.t2, i2, e2, c2, hit2)):
-            table[index] = np.where(hit, np.minimum(e + 65536, c + 196608), np.where(e >= 65536, e - 65536, ids))
-        state *= 3
-        state += kind
-        self.flat_right[state] += 1
-        self.p2[:k] = self.p1[:k]
-        self.p1[:k] = ids
+    def learn(self, cells: np.ndarray) -> None:
+        self.count += 4 * np.bincount(cells, minlength=self.count.size).astype(np.int32).reshape(-1, 256)
+
+
+def _successors(ids: np.ndarray, slot: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """For each place the successor that its slot names and its run (1 to 3) above bit 16; 0 if none.
+
+    Places of a slot are neighbours after a stable sort, so the entry that a place
+    finds is its left neighbour, and its run is that of the neighbours before.
+    """
+    n, block = ids.shape
+    order = np.argsort(slot.astype(np.uint16), axis=1, kind="stable")
+    order += (np.arange(n) * block)[:, None]
+    order = order.ravel()
+    key = ((slot << 16) | tag).ravel()[order]
+    sym = ids.ravel()[order]
+    valid = np.zeros(n * block, bool)
+    valid[1:] = key[1:] == key[:-1]
+    valid[::block] = False
+    hit = np.zeros(n * block + 2, np.int32)
+    hit[3:] = valid[1:] & (sym[1:] == sym[:-1])
+    run = 1 + hit[1:-1] + (hit[1:-1] & hit[:-2])  # hits at the one and the two places before
+    out = np.zeros(n * block, np.int32)
+    out[1:] = np.where(valid[1:], sym[:-1] | (run[1:] << 16), 0)
+    back = np.empty_like(out)
+    back[order] = out
+    return back.reshape(n, block)
+
+
+def _shares(grid: np.ndarray, length: np.ndarray, start: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Models of the blocks (rows) of `grid`: fills in each id's begin and size within its range.
+
+    Returned are place, block, begin and size of the novel ids inside the novel share.
+    `length` is the ids of each block.
+    """
+    n, block = grid.shape
+    p1, p2 = np.zeros((n, block), np.int64), np.zeros((n, block), np.int64)
+    p1[:, 1:], p2[:, 2:] = grid[:, :-1], grid[:, :-2]
+    slot1, tag1, slot2, tag2 = _contexts(p1, p2)
+    e1, e2 = _successors(grid, slot1, tag1), _successors(grid, slot2, tag2)
+    s1, s2 = e1 >> 16, e2 >> 16
+    e1 &= 0xFFFF
+    e2 &= 0xFFFF
+    hit2, hit1 = (e2 == grid) & (s2 > 0), (e1 == grid) & (s1 > 0)
+    state = (s2 << 3) + (s1 << 1)
+    state += (e1 == e2) & (s1 > 0) & (s2 > 0)
+    kind = np.where(hit2, 0, np.where(hit1, 1, 3)).astype(np.int8)
+    lane = np.arange(n, dtype=np.int32)[:, None]
+    keys = grid | (lane << 16)
+    place, many = np.zeros((n, block), np.int32), np.ones((n, block), np.int32)
+    marks = epochs(block)
+    for a, b in zip(marks[1:], [*marks[2:], block], strict=True):
+        many[:, a:b] = a
+        held = np.sort(grid[:, :a].astype(np.uint16), axis=1) | (lane << 16)
+        held = held.ravel()
+        edge = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+        size, name = np.diff(np.append(edge, len(held))), held[edge]
+        at = np.flatnonzero(kind[:, a:b] == 3)
+        rows, cols = at // (b - a), at % (b - a) + a
+        at = rows * block + cols
+        wanted = keys.take(at)
+        run = np.minimum(np.searchsorted(name, wanted), len(edge) - 1)
+        met = name[run] == wanted
+        at, run = at[met], run[met]
+        kind.reshape(-1)[at] = 2
+        place.reshape(-1)[at] = edge[run] - rows[met] * a
+        many.reshape(-1)[at] = size[run]
+    weights, novel = _Weights(n), _Novel(n)
+    state += lane * _STATES
+    epoch, fresh = 0, []
+    cuts = sorted({*range(0, block, REFRESH), *marks})
+    whole = bool((length == block).all())
+    for a, b in zip(cuts, [*cuts[1:], block], strict=True):
+        if a in marks and a:
+            epoch = a
+            novel.refresh()
+        cell, k = state[:, a:b], kind[:, a:b]
+        found = weights.ends(epoch > 0).take(cell)
+        ends = np.stack([np.zeros_like(found), found & 8191, (found >> 13) & 8191, found >> 26, np.full_like(found, 4096)])
+        at = np.arange(k.size).reshape(k.shape) + k * np.int64(k.size)
+        low = ends.take(at)
+        at += k.size
+        width = ends.take(at) - low
+        total = max(epoch, 1)
+        start[:, a:b] = low * total + width * place[:, a:b]
+        part[:, a:b] = width * np.where(k == 2, many[:, a:b], total)
+        live = k >= 0 if whole else np.arange(a, b)[None] < length[:, None]
+        weights.learn(((cell << 2) + k)[live])
+        rows, cols = np.nonzero((k == 3) & live)
+        sym = grid[rows, cols + a]
+        f0 = novel.cum[rows, sym >> 8]
+        f = novel.cum[rows, (sym >> 8) + 1] - f0
+        fresh.append((cols + a, rows, (f0 << 8) + (sym & 255) * f, f))
+        novel.learn(rows * 256 + (sym >> 8))
+    return tuple(np.concatenate(x) for x in zip(*fresh, strict=True))
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """(16-bit digits of all blocks one after the other, digits per block)."""
+    """(32-bit digits of all blocks one after the other, digits per block)."""
     n = -(-len(ids) // block)
     if n == 0:
-        return np.zeros(0, np.uint16), np.zeros(0, np.int64)
-    sizes = [block] * (n - 1) + [len(ids) - (n - 1) * block]
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    last = len(ids) - (n - 1) * block
     grid = np.zeros(n * block, np.int32)
     grid[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.reshape(n, block).T)
-    models = _Models(n)
-    digits = np.zeros((2 * block + 8, n), np.int32)
+    grid = grid.reshape(n, block)
+    length = np.full(n, block)
+    length[-1] = last
+    start, part = np.empty((block, n), np.int32), np.empty((block, n), np.int32)
+    fresh = []
+    for i in range(0, n, _GROUP):
+        j = min(n, i + _GROUP)
+        x, y = np.empty((j - i, block), np.int32), np.empty((j - i, block), np.int32)
+        when, row, low, width = _shares(grid[i:j], length[i:j], x, y)
+        start[:, i:j], part[:, i:j] = x.T, y.T
+        fresh.append((when, row + i, low, width))
+    when, row, fresh_low, fresh_width = (np.concatenate(x) for x in zip(*fresh, strict=True))
+    order = np.argsort(when.astype(np.uint16), kind="stable") if block <= 1 << 16 else np.argsort(when, kind="stable")
+    row, fresh_low, fresh_width = row[order], fresh_low[order].astype(np.int64), fresh_width[order].astype(np.int64)
+    ends = np.searchsorted(when[order], np.arange(block + 1)).tolist()
+    digits = np.zeros((block + 8, n), np.int64)
     flat = digits.reshape(-1)
     low, width = np.zeros(n, np.int64), np.full(n, _TOP, np.int64)
-    at = models.lane.copy()
-    for t in range(sizes[0]):
-        k = n if t < sizes[-1] else n - 1
-        sym = grid[t, :k]
-        found = models.predict(k)
-        c1, c2, w2, w1 = found[4], found[5], found[7], found[8]
-        wide = width[:k]
-        unit = wide >> 12
-        a = unit * w2
-        b = unit * w1
-        b += a
-        hit2 = c2 == sym
-        kind = 2 - (c1 == sym)
-        kind[hit2] = 0
-        low[:k] += np.where(hit2, 0, np.where(kind == 1, a, b))
-        width[:k] = np.where(hit2, a, np.where(kind == 1, b - a, wide - b))
-        rest = np.flatnonzero(kind == 2)
-        if len(rest):
-            s = sym.take(rest)
-            high = s >> 8
-            place = models.base_cum.take(rest) + high
-            start = models.flat_cum.take(place)
-            f = models.flat_cum.take(place + 1) - start
-            unit = width.take(rest) >> 20
-            low[rest] += unit * ((start << 8) + (s & 255) * f)
-            width[rest] = unit * f
-            models.count[models.base_count.take(rest) + high] += 4
-        models.update(k, found, sym, hit2, kind)
-        small = np.flatnonzero(width[:k] < _LOW)
-        while len(small):
-            x, place, wide = low.take(small), at.take(small), width.take(small) << 16
-            flat[place] = x >> 32
-            low[small] = (x & 0xFFFFFFFF) << 16
-            width[small] = wide
-            at[small] = place + n
-            small = small[wide < _LOW]
-        if t % REFRESH == REFRESH - 1:
-            models.refresh()
-    for shift in (32, 16, 0):
-        flat[at] = (low >> shift) & 0xFFFF if shift < 32 else low >> 32
-        at += n
-    used = (at - models.lane) // n
-    carry = np.zeros(n, np.int32)
-    for row in digits[: int(used.max())][::-1]:
-        row += carry
-        carry = row >> 16
-        row &= 0xFFFF
+    at = np.arange(n, dtype=np.int64)
+    left = epochs(block)[1:]
+    total, k = 4096, n
+    for t in range(block if n > 1 else last):
+        if t == last and n > 1:
+            k = n - 1
+        if left and t == left[0]:
+            total = 4096 * left.pop(0)
+        unit = width[:k] // total
+        low[:k] += unit * start[t, :k]
+        unit *= part[t, :k]
+        i, j = ends[t], ends[t + 1]
+        if j > i:
+            rest = row[i:j]
+            fine = unit.take(rest) >> 20
+            low[rest] += fine * fresh_low[i:j]
+            unit[rest] = fine * fresh_width[i:j]
+        width[:k] = unit
+        small = np.flatnonzero(unit < _LOW)
+        if len(small):  # one digit is enough: no share is below 2**-30 of the range
+            x, spot = low.take(small), at.take(small)
+            flat[spot] = x >> 30
+            x &= _MASK
+            x <<= 32
+            low[small] = x
+            width[small] <<= 32
+            spot += n
+            at[small] = spot
+    flat[at] = low >> 30
+    at += n
+    flat[at] = (low & _MASK) << 2
+    at += n
+    used = (at - np.arange(n)) // n
+    carry = np.zeros(n, np.int64)
+    for row_ in digits[: int(used.max())][::-1]:
+        row_ += carry
+        carry = row_ >> 32
+        row_ &= 0xFFFFFFFF
     keep = np.arange(int(used.max()))[None, :] < used[:, None]
-    return digits[: int(used.max())].T[keep].astype("<u2"), used
+    return digits[: int(used.max())].T[keep].astype("<u4"), used
 
 
-def decode_blocks(words: np.ndarray, used: np.ndarray, total: int, block: int = BLOCK) -> np.ndarray:
+def decode_blocks(words: np.ndarray, used: np.ndarray, size: int, block: int = BLOCK) -> np.ndarray:
     n = len(used)
     if n == 0:
         return np.zeros(0, np.uint16)
-    last = total - (n - 1) * block
-    source = np.concatenate([words, np.zeros(8, np.uint16)])
+    last = size - (n - 1) * block
+    source = np.concatenate([words, np.zeros(3, np.uint32)]).astype(np.int64)
     at = np.cumsum(used) - used
-    models = _Models(n)
-    slots = models.slots()
-    code = (source[at].astype(np.int64) << 32) | (source[at + 1].astype(np.int64) << 16) | source[at + 2]
-    at = at + 3
-    width = np.full(n, _TOP, np.int64)
-    out = np.zeros((min(block, total), n), np.uint16)
-    slot_base = models.lane * 4096
+    code = (source[at] << 30) | (source[at + 1] >> 2)
+    at = at + 1
+    # what a shift brings in: two bits of a digit and thirty of the next
+    source = ((source[:-1] & 3) << 30) | (source[1:] >> 2)
     end = len(source) - 1
-    for t in range(len(out)):
-        k = n if t < last else n - 1
-        found = models.predict(k)
-        c1, c2, w2, w1 = found[4], found[5], found[7], found[8]
-        wide = width[:k]
-        unit = wide >> 12
-        a = unit * w2
-        b = unit * w1
-        b += a
-        now = code[:k]
-        hit2 = now < a
-        other = now >= b
-        kind = 1 + other
-        kind[hit2] = 0
-        sym = np.where(hit2, c2, c1)
-        low = np.where(hit2, 0, np.where(other, b, a))
-        width[:k] = np.where(hit2, a, np.where(other, wide - b, b - a))
-        code[:k] = now - low
-        rest = np.flatnonzero(other)
-        if len(rest):
-            x, unit = code.take(rest), width.take(rest) >> 20
-            value = np.minimum((x / unit).astype(np.int64), (1 << 20) - 1)  # below 2**48: a double holds both, the quotient is put right next
-            value -= value * unit > x
-            value += ((value + 1) * unit <= x) & (value < (1 << 20) - 1)
-            high = slots.take(slot_base.take(rest) + (value >> 8)).astype(np.int64)
-            place = models.base_cum.take(rest) + high
-            start = models.flat_cum.take(place)
-            f = models.flat_cum.take(place + 1) - start
-            base = start.astype(np.int64) << 8
-            byte = ((value - base) // f.astype(np.int64)).astype(np.int64)
-            code[rest] = x - unit * (base + byte * f)
-            width[rest] = unit * f
-            sym[rest] = (high << 8) | byte
-            models.count[models.base_count.take(rest) + high] += 4
-        models.update(k, found, sym, sym == c2, kind)
+    width = np.full(n, _TOP, np.int64)
+    lane = np.arange(n, dtype=np.int64)
+    # successors of order 1, then of order 2: id, run above it, tag above both
+    table = np.zeros((n << _B1) + (n << _B2), np.int32)
+    base = np.stack([lane << _B1, (n << _B1) + (lane << _B2)])
+    weights, novel = _Weights(n), _Novel(n)
+    slots = novel.slots()
+    ends = weights.ends(False)
+    p1, p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    steps = block if n > 1 else last
+    out = np.zeros((steps, n), np.uint16)
+    cells = np.zeros((REFRESH, n), np.int32)
+    marks = set(epochs(block))
+    epoch, done, k = 0, 0, n
+    slot, tag, state0 = np.empty((2, n), np.int64), np.empty((2, n), np.int64), lane << 5
+    cum = novel.cum.reshape(-1)
+    first_of, most, runs = lane, n - 1, None
+    for t in range(steps):
+        if t == last and n > 1:  # the last block has ended
+            k = n - 1
+            slot, tag, base, state0, code, width, p1, p2, first_of = (x[..., :k] for x in (slot, tag, base, state0, code, width, p1, p2, first_of))
+        if t and (t in marks or t % REFRESH == 0):
+            weights.learn(cells[: t - done, : n if last >= t else n - 1].ravel())
+            done = t
+            if t in marks:
+                epoch = t
+                novel.refresh()
+                slots = novel.slots()
+                held = np.sort(np.ascontiguousarray(out[:t].T), axis=1)
+                new = np.ones((n, t), bool)
+                np.not_equal(held[:, 1:], held[:, :-1], out=new[:, 1:])
+                held = held.ravel()
+                edge = np.flatnonzero(new)
+                length = np.diff(np.append(edge, n * t))
+                # for each place: where the id's run begins in its block, its length, the id
+                runs = np.repeat((edge % t << 29) | (length << 16) | held[edge], length)
+                first_of, most = lane[:k] * t, n * t - 1
+            ends = weights.ends(epoch > 0)
+        slot[0], tag[0], slot[1], tag[1] = _contexts(p1, p2)
+        slot += base
+        found = table.take(slot).astype(np.int64)
+        run = found >> 16
+        run &= 3
+        np.multiply(run, (found >> 18) == tag, out=run)
+        found &= 0xFFFF
+        c1, c2 = found
+        state = run[1] << 2
+        state += run[0]
+        state <<= 1
+        state += (c1 == c2) & (run[0] > 0) & (run[1] > 0)
+        state += state0
+        share = ends.take(state)
+        total = max(epoch, 1)
+        unit = width // (4096 * total)
+        step = unit * total
+        x = (share & 8191) * step
+        share >>= 13
+        b = (share & 8191) * step
+        by2 = code < x
+        other = code >= b
+        sym = np.where(by2, c2, c1)
+        low = np.where(by2, 0, x)
+        b -= x
+        wide = np.where(by2, x, b)
+        state <<= 2
+        state += other
+        state += ~by2
+        # order 0's share, taken for all blocks and used where neither successor was right
+        y = share & 8191
+        share >>= 13
+        share -= y
+        share *= unit
+        y *= step
+        m = code - y
+        if epoch:
+            j = (m / share).astype(np.int64)  # a double may miss the floor by one
+            np.maximum(j, 0, out=j)
+            np.minimum(j, total - 1, out=j)
+            m -= j * share
+            j -= m < 0
+            j += m >= share
+            j += first_of
+            np.minimum(j, most, out=j)
+            run0 = runs.take(j)
+            sym = np.where(other, run0 & 0xFFFF, sym)
+            run0 >>= 16
+            wide = np.where(other, (run0 & 8191) * share, wide)
+            run0 >>= 13
+            run0 *= share
+            run0 += y
+            low = np.where(other, run0, low)
+        share *= total
+        share += y
+        new = np.flatnonzero(code >= share)
+        if len(new):
+            top = share.take(new)
+            state[new] += 1
+            fine = (step.take(new) * 4096 - top) >> 20
+            value = np.minimum((code.take(new) - top) // fine, (1 << 20) - 1)
+            high = slots.take((new << 12) + (value >> 8)).astype(np.int64)
+            at_ = new * 257 + high
+            f0 = cum.take(at_).astype(np.int64)
+            f = cum.take(at_ + 1) - f0
+            f0 <<= 8
+            byte = (value - f0) // f
+            low[new] = top + fine * (f0 + byte * f)
+            wide[new] = fine * f
+            sym[new] = (high << 8) | byte
+            novel.count.reshape(-1)[at_ - new] += 4
+        code -= low
+        cells[t - done, :k] = state
+        # a run grows by a hit, else the slot begins anew with this id
+        run *= found == sym
+        run += 1
+        np.minimum(run, 3, out=run)
+        run <<= 16
+        run |= sym
+        run |= tag << 18
+        table[slot] = run
+        p2, p1 = p1, sym
         out[t, :k] = sym
-        small = np.flatnonzero(width[:k] < _LOW)
-        while len(small):
-            place, wide = at.take(small), width.take(small) << 16
-            code[small] = (code.take(small) << 16) | source.take(np.minimum(place, end))
-            width[small] = wide
-            at[small] = place + 1
-            small = small[wide < _LOW]
-        if t % REFRESH == REFRESH - 1:
-            models.refresh()
-            slots = models.slots()
-    return np.ascontiguousarray(out.T).reshape(-1)[:total]
+        small = np.flatnonzero(wide < _LOW)
+        width = wide
+        if len(small):
+            spot, x = at.take(small), code.take(small) << 32
+            x |= source.take(np.minimum(spot, end))
+            code[small] = x
+            wide[small] <<= 32
+            spot += 1
+            at[small] = spot
+    return np.ascontiguousarray(out.T).reshape(-1)[:size] if n > 1 else out[:, 0].copy()
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
@@ -255,7 +446,7 @@ def unpack(data: bytes) -> np.ndarray:
     at = 6 + struct.calcsize("<IQI")
     used = np.frombuffer(data, "<u4", n, at).astype(np.int64)
     sums = np.frombuffer(data, "<u4", n, at + 4 * n)
-    words = np.frombuffer(data, "<u2", -1, at + 8 * n)
+    words = np.frombuffer(data, "<u4", -1, at + 8 * n)
     if len(words) != used.sum():
         raise ValueError("segment is cut short")
     ids = decode_blocks(words, used, total, block)

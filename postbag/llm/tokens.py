@@ -27,6 +27,8 @@ CACHE_CHUNKS = 2_500_000
 CACHE_RUNS = 300_000
 #: Longer chunks are hashed one by one with a cryptographic hash.
 LONG = 64
+#: Bytes that running sums are taken over at a time.
+PIECE = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -70,21 +72,27 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes().decode()
 
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        if len(Words.powers) < n + 1:
-            size = max(1 << 16, 1 << int(n + 1).bit_length())
-            step = np.full(size, _BASE, np.uint64)
+        """A hash of each chunk's bytes; sums run over pieces of `PIECE` bytes, so memory does not grow with a batch."""
+        if len(Words.powers) < PIECE + LONG + 1:
+            step = np.full(PIECE + LONG + 1, _BASE, np.uint64)
             step[0] = 1
             Words.powers = np.cumprod(step)
             step[1:] = _INVERSE
             Words.inverses = np.cumprod(step)
-        run = np.empty(n + 1, np.uint64)
-        run[0] = 0
-        terms = _MIX[self.data]
-        terms *= Words.powers[:n]
-        np.cumsum(terms, out=run[1:])
-        h = (run[self.end] - run[self.start]) * Words.inverses[self.start]
         size = (self.end - self.start).astype(np.uint64)
+        h = np.empty(len(size), np.uint64)
+        cuts = np.searchsorted(self.start, np.arange(0, len(self.data) + PIECE, PIECE))
+        run = np.zeros(PIECE + LONG + 1, np.uint64)
+        for i, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            if lo == hi:
+                continue
+            first = i * PIECE
+            start = self.start[lo:hi] - first
+            end = np.minimum(self.end[lo:hi] - first, start + LONG)
+            terms = _MIX[self.data[first : first + int(end[-1])]]
+            terms *= Words.powers[: len(terms)]
+            np.cumsum(terms, out=run[1 : len(terms) + 1])
+            h[lo:hi] = (run[end] - run[start]) * Words.inverses[start]
         h ^= size * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
