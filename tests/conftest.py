@@ -3,6 +3,7 @@ import sys
 
 import pytest
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # before numpy loads: its threads do not survive forks
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + ":" + os.environ.get("PYTHONPATH", "")
