@@ -47,7 +47,10 @@ from postbag.llm.tokens import encoder, vocabulary_path
 MAGIC = b"PBRC2\0"
 BLOCK = 4096
 #: Ids of a segment after which it is closed; it is coded in one go.
-SEGMENT = 4 << 20
+SEGMENT = 8 << 20
+#: Bytes of text that a partition of the writer should hold, so that its ids fill most of
+#: one segment: a step over many blocks costs little more than one over few.
+PART_BYTES = 44_000_000
 REFRESH = 128
 #: Bits of the slot number of orders 1 and 2.
 _B1, _B2 = 11, 12
@@ -67,12 +70,11 @@ def epochs(block: int) -> list[int]:
 
 def _contexts(p1: np.ndarray, p2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(slot, tag) of order 1 and of order 2, from the last id and the one before."""
-    h1 = p1 * 40503
-    h1 &= 0xFFFF  # odd factor: one to one
     h2 = p1 * 0x9E3779B1
     h2 += p2 * 0x85EBCA77
     h2 >>= 8
-    return h1 >> (16 - _B1), h1 & ((1 << (16 - _B1)) - 1), (h2 >> 12) & ((1 << _B2) - 1), h2 & 0xFFF
+    h2 &= (1 << (_B2 + 12)) - 1
+    return p1 & ((1 << _B1) - 1), p1 >> _B1, h2 >> 12, h2 & 0xFFF
 
 
 class _Weights:
@@ -115,8 +117,10 @@ class _Novel:
         np.cumsum(freq, axis=1, out=self.cum[:, 1:])
 
     def slots(self) -> np.ndarray:
-        """The high part at each of the 4,096 places, for decoding."""
-        return np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(self.cum)), np.diff(self.cum, axis=1).ravel())
+        """For each of the 4,096 places the high part (8 bits), its begin and size (12 bits each), for decoding."""
+        size = np.diff(self.cum, axis=1)
+        entry = np.arange(256, dtype=np.uint32) | (self.cum[:, :-1].astype(np.uint32) << np.uint32(8)) | (size.astype(np.uint32) << np.uint32(20))
+        return np.repeat(entry.ravel(), size.ravel())
 
     def learn(self, cells: np.ndarray) -> None:
         self.count += 4 * np.bincount(cells, minlength=self.count.size).astype(np.int32).reshape(-1, 256)
@@ -291,7 +295,7 @@ def decode_blocks(words: np.ndarray, used: np.ndarray, size: int, block: int = B
     source = np.concatenate([words, np.zeros(3, np.uint32)]).astype(np.int64)
     at = np.cumsum(used) - used
     code = (source[at] << 30) | (source[at + 1] >> 2)
-    at = at + 1
+    at = np.minimum(at + 1, len(source) - 2)
     # what a shift brings in: two bits of a digit and thirty of the next
     source = ((source[:-1] & 3) << 30) | (source[1:] >> 2)
     end = len(source) - 1
@@ -310,17 +314,19 @@ def decode_blocks(words: np.ndarray, used: np.ndarray, size: int, block: int = B
     marks = set(epochs(block))
     epoch, done, k = 0, 0, n
     slot, tag, state0 = np.empty((2, n), np.int64), np.empty((2, n), np.int64), lane << 5
-    cum = novel.cum.reshape(-1)
+    fresh_cells = [np.zeros(0, np.int64)]
     first_of, most, runs = lane, n - 1, None
     for t in range(steps):
         if t == last and n > 1:  # the last block has ended
             k = n - 1
-            slot, tag, base, state0, code, width, p1, p2, first_of = (x[..., :k] for x in (slot, tag, base, state0, code, width, p1, p2, first_of))
+            slot, tag, base, state0, code, width, p1, p2, first_of, at = (x[..., :k] for x in (slot, tag, base, state0, code, width, p1, p2, first_of, at))
         if t and (t in marks or t % REFRESH == 0):
             weights.learn(cells[: t - done, : n if last >= t else n - 1].ravel())
             done = t
             if t in marks:
                 epoch = t
+                novel.learn(np.concatenate(fresh_cells))
+                fresh_cells = [fresh_cells[0]]
                 novel.refresh()
                 slots = novel.slots()
                 held = np.sort(np.ascontiguousarray(out[:t].T), axis=1)
@@ -371,12 +377,11 @@ def decode_blocks(words: np.ndarray, used: np.ndarray, size: int, block: int = B
         m = code - y
         if epoch:
             j = (m / share).astype(np.int64)  # a double may miss the floor by one
-            np.maximum(j, 0, out=j)
-            np.minimum(j, total - 1, out=j)
             m -= j * share
             j -= m < 0
             j += m >= share
             j += first_of
+            np.maximum(j, 0, out=j)
             np.minimum(j, most, out=j)
             run0 = runs.take(j)
             sym = np.where(other, run0 & 0xFFFF, sym)
@@ -388,22 +393,23 @@ def decode_blocks(words: np.ndarray, used: np.ndarray, size: int, block: int = B
             low = np.where(other, run0, low)
         share *= total
         share += y
-        new = np.flatnonzero(code >= share)
+        fresh = code >= share
+        state += fresh
+        new = np.flatnonzero(fresh)
         if len(new):
             top = share.take(new)
-            state[new] += 1
             fine = (step.take(new) * 4096 - top) >> 20
             value = np.minimum((code.take(new) - top) // fine, (1 << 20) - 1)
-            high = slots.take((new << 12) + (value >> 8)).astype(np.int64)
-            at_ = new * 257 + high
-            f0 = cum.take(at_).astype(np.int64)
-            f = cum.take(at_ + 1) - f0
-            f0 <<= 8
+            entry = slots.take((new << 12) + (value >> 8)).astype(np.int64)
+            high = entry & 255
+            f = entry >> 20
+            f0 = entry & 0xFFF00
             byte = (value - f0) // f
-            low[new] = top + fine * (f0 + byte * f)
+            f0 += byte * f
+            low[new] = top + fine * f0
             wide[new] = fine * f
             sym[new] = (high << 8) | byte
-            novel.count.reshape(-1)[at_ - new] += 4
+            fresh_cells.append((new << 8) + high)
         code -= low
         cells[t - done, :k] = state
         # a run grows by a hit, else the slot begins anew with this id
@@ -416,15 +422,15 @@ def decode_blocks(words: np.ndarray, used: np.ndarray, size: int, block: int = B
         table[slot] = run
         p2, p1 = p1, sym
         out[t, :k] = sym
-        small = np.flatnonzero(wide < _LOW)
+        # where the range is narrow a digit comes in
+        small = wide < _LOW
+        shift = small * np.int64(32)
+        wide <<= shift
         width = wide
-        if len(small):
-            spot, x = at.take(small), code.take(small) << 32
-            x |= source.take(np.minimum(spot, end))
-            code[small] = x
-            wide[small] <<= 32
-            spot += 1
-            at[small] = spot
+        code <<= shift
+        code |= source.take(at) * small
+        at += small
+        np.minimum(at, end, out=at)
     return np.ascontiguousarray(out.T).reshape(-1)[:size] if n > 1 else out[:, 0].copy()
 
 
@@ -491,7 +497,10 @@ def write_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end: in
         if ids:
             yield close()
 
-    rows = common.doc_ids_and_text(docs).where("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = common.doc_ids_and_text(docs).where("doc_id is not null")
+    held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    most = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(max(1, min(most, -(-held // PART_BYTES))), "doc_id").sortWithinPartitions("doc_id", "text")
     out = rows.mapInArrow(run, "part int, segment int, n_tokens long, doc_ids binary, doc_tokens binary, data binary")
     return common.written(out, "tokens", "none")
 
