@@ -13,7 +13,11 @@ score from 0 to 1.
 A worker compresses each distinct word once and finds it again by a hash.
 
 Null and empty texts have no window; their score is the calibration's value at
-zero distances.  Whole texts are read; equal texts have equal scores.
+zero distances.  Whole texts are read; equal texts have equal scores.  An empty table
+gives no rows; without labels of both kinds every score is their smoothed share.
+Rows of null doc_id are scored, not learned from; repeated rows are scored each for
+itself.  A very long text is one step of a worker (tens of bytes of memory for each
+of its bytes).  Columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -175,12 +179,33 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 
 
 def fit_table(docs: DataFrame, labels: DataFrame, label: str, fit_rows: int = FIT_ROWS) -> Model:
-    """Fit on at most about `fit_rows` labelled rows, chosen by a hash of doc_id."""
+    """Fit on at most about `fit_rows` labelled rows, chosen by a hash of doc_id.
+
+    The fit is one task, so no text comes to the driver; only the model does.
+    """
+    common.ship(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     share = min(1.0, fit_rows / max(1, known.count()))
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))
-    rows = common.doc_ids_and_text(docs).where(chosen).join(known.where(chosen).dropDuplicates(["doc_id"]), "doc_id").orderBy("doc_id").select("text", "y").toArrow()
-    return fit(rows.column("text").to_pylist(), rows.column("y").to_pylist())
+    # a document under several labels counts as the lowest of them
+    wanted = known.where(chosen).groupBy("doc_id").agg(F.min("y").alias("y"))
+    rows = common.doc_ids_and_text(docs).where(chosen).join(wanted, "doc_id").repartition(1).sortWithinPartitions("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y = [], []
+        for b in batches:
+            texts += b.column("text").to_pylist()
+            y += b.column("y").to_pylist()
+        m = fit(texts, y)
+        cells = [[m.ordinary], [m.toxic], [m.threshold], [list(map(float, m.weights))], [list(map(float, m.scale[0]))], [list(map(float, m.scale[1]))]]
+        kinds = (pa.binary(), pa.binary(), pa.int32(), *[pa.list_(pa.float64())] * 3)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names=["ordinary", "toxic", "threshold", "weights", "centre", "spread"])
+
+    got = rows.mapInArrow(run, "ordinary binary, toxic binary, threshold int, weights array<double>, centre array<double>, spread array<double>").collect()  # one row
+    if not got:
+        return fit([], [])
+    r = got[0]
+    return Model(bytes(r.ordinary), bytes(r.toxic), r.threshold, list(r.weights), [list(r.centre), list(r.spread)])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

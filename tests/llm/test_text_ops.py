@@ -167,7 +167,7 @@ def test_rules_on_no_rows(docs):
 @pytest.fixture(scope="module")
 def labelled():
     c = duckdb.connect()
-    return c.execute("select doc_id, text, lang, quality, toxic from read_parquet('/root/testdata/sf0.1/documents.parquet') join read_parquet('/root/testdata/sf0.1/labels.parquet') using (doc_id) order by doc_id").fetchall()
+    return c.execute("select doc_id, text, lang, quality, toxic from read_parquet('/root/testdata/sf0.1/documents.parquet') d join read_parquet('/root/testdata/sf0.1/labels.parquet') l using (doc_id) order by doc_id").fetchall()
 
 
 def test_quality_held_out(labelled):
@@ -214,3 +214,80 @@ def test_language(spark, docs):
 
 def test_queries_are_named():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES) == list(range(1, 11))
+
+
+def test_language_does_not_depend_on_neighbours():
+    table = np.log(np.random.default_rng(0).random((3, 1 << langmix.BITS))).astype(np.float32)
+    alone = langmix.infer(pa.array(["das ist ein haus"]), table)[0][0]
+    for texts, i in ((["das ist ein haus", "  zz", "q"], 0), (["", "xx yy", "das ist ein haus"], 2), (["a", "das ist ein haus", ""], 1)):
+        assert (langmix.infer(pa.array(texts), table)[0][i] == alone).all()
+
+
+def test_quality_statistics_against_brute_force():
+    texts = [t or "" for t in ODD] + ["One one ONE two.\nTwo | 33 AB ABc", "a b a b c"]
+    got = qda.statistics(pa.array(texts))
+    for t, row in zip(texts, got, strict=True):
+        raw = t.encode()
+        w = [x for x in re.split(rb"[\x09-\x0D ]+", raw) if x]
+        n, count = max(1, len(raw)), max(1, len(w))
+        angle = lambda x: float(np.arcsin(np.sqrt(x)))
+        pairs = list(zip(w, w[1:], strict=False))
+        want = {
+            "bytes": np.log1p(len(raw)),
+            "words": np.log1p(len(w)),
+            "upper": angle(sum(65 <= c <= 90 for c in raw) / n),
+            "digits": angle(sum(48 <= c <= 57 for c in raw) / n),
+            "bars": angle(raw.count(b"|") / n),
+            "lines": angle(raw.count(b"\n") / n),
+            "word_bytes": np.log1p(sum(map(len, w)) / count),
+            "short_words": angle(sum(len(x) <= 3 for x in w) / count),
+            "distinct_words": np.log1p(len(set(w))) - 0.8 * np.log1p(len(w)),
+            "top_word": angle(max(collections.Counter(w).values(), default=0) / count),
+            "same_as_before": angle(sum(a == b for a, b in pairs) / count),
+            "repeated_pairs": angle(1 - len(set(pairs)) / len(pairs)) if pairs else 0.0,
+        }
+        for name, x in want.items():
+            assert abs(row[qda.NAMES.index(name)] - x) < 1e-9, (name, t[:40])
+
+
+def test_quality_scores_are_log_density_differences():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(400, 4)), np.arange(400) % 2
+    x[y == 1] = x[y == 1] * 1.7 + 0.6
+    m = qda.Discriminant(x, y, 0.3, 0.1)
+    z = (x - x.mean(0)) / x.std(0)
+    pooled = sum(np.cov(z[y == c].T, bias=True) * (y == c).sum() for c in (0, 1)) / (len(z) - 2)
+    density = []
+    for c in (0, 1):
+        s = 0.7 * np.cov(z[y == c].T) + 0.3 * pooled
+        s = 0.9 * s + 0.1 * np.eye(4) * np.trace(s) / 4 + 1e-6 * np.eye(4)
+        d = z - z[y == c].mean(0)
+        density.append(np.log((y == c).mean()) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d))
+    assert np.allclose(m.margin(x), density[1] - density[0])
+
+
+def test_toxicity_distances_against_one_word_at_a_time():
+    model = toxicity.fit(["good day to all", "bad scum here"] * 60, [0, 1] * 60)
+    ordinary, toxic = model._open()[:2]
+    texts = ["Good scum day", "", None, "here here x"]
+    got, first = model.distances(pa.array(texts))
+    words = [w for t in texts for w in (t or "").lower().encode().split()]
+    assert got.tolist() == [len(ordinary(toxicity.framed(w))) - len(toxic(toxicity.framed(w))) for w in words]
+    assert first.tolist() == [0, 3, 3, 3, 6]
+
+
+EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_empty_tables_and_null_ids(spark, tmp_path):
+    """An empty table gives no rows; null ids, repeated ids and clashing columns do not crash."""
+    for rows, name in (([], "none"), ([(None, "a text without id, long enough to be read", "en", "x", 1), (5, "one text", None, "x", 1), (5, "another text", "de", "x", 2), (6, None, "de", "x", 0)], "odd")):
+        folder = tmp_path / name
+        spark.createDataFrame(rows, EMPTY).withColumn("score", F.lit(1)).withColumn("y", F.lit(2)).withColumn("bucket", F.lit("z")).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(r[0], 1, 0) for r in rows if r[0]], "doc_id long, quality int, toxic int").withColumn("text", F.lit("t")).write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, "x y")] if rows else [], "item_id long, text string").withColumn("doc_id", F.lit(9)).write.parquet(f"{folder}/benchmark.parquet")
+        spark.createDataFrame([(1, None, None, None), (None, 1, "user", "a"), (1, None, None, None)] if rows else [], "conv_id long, turn long, role string, text string").withColumn("span", F.lit(3)).write.parquet(f"{folder}/conversations.parquet")
+        for query, f in queries.QUERIES.items():
+            got = f(spark, str(folder)).collect()
+            named = 2 if query.startswith("op10") else {"op2_token_ids": 3, "op4_token_counts": 3, "op7_near_duplicates": 3}.get(query, 4)
+            assert len(got) == (named if rows else 1 if query.startswith("op10") else 0), query
