@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postbag.functions import dates
+from postbag.functions import collections, dates
 from postbag.functions import text as T
 from postbag.operators import contacts, entities, facets, messages
 from postbag.operators.model import OWNER, VIEWS, attachments, heads, read, recipients
@@ -81,9 +81,10 @@ for _name, (_spec, _where) in _SEARCHES.items():
         query(_name, f"select doc_id, subject, folder from heads where {_where}")(_hits(_spec))
 
 
-@query("O_FLT_02_regex_body", r"select doc_id, lang from documents where regexp_matches(text, '(?i)\b(idiot|moron)\b')", views=False)
+@query("O_FLT_02_regex_body", r"select doc_id, lang from documents where regexp_matches(text || chr(10) || source, '(?i)\b(idiot|moron|feed)\b')", views=False)
 def _regex(spark, sf):
-    return read(spark, sf, "documents").where(F.col("text").rlike(r"(?i)\b(idiot|moron)\b")).select("doc_id", "lang")
+    m = read(spark, sf, "documents").select("doc_id", "lang", F.col("source").alias("subject"), F.col("text").alias("body"), F.lit(None).cast("timestamp").alias("date"))
+    return search({"messages": m}, SearchSpec(regex=r"\b(IDIOT|moron|feed)\b")).select("doc_id", "lang")
 
 
 @query("O_FLT_36_day_parts", "select doc_id from heads where year(date) = 1997 and day(date) = 4")
@@ -261,10 +262,12 @@ def _win01(spark, sf):
 
 
 @query("O_WIN_02_sessions", """
-, g as (select doc_id, contact_id, date, case when date_diff('second', lag(date) over w, date) > 30 * 86400 then 1 else 0 end as g from heads window w as (partition by contact_id order by date, doc_id))
-select doc_id, cast(sum(g) over (partition by contact_id order by date, doc_id rows unbounded preceding) as bigint) as session from g""")
+, who as (select doc_id, string_agg(distinct email, ',' order by email) as who from recipients group by doc_id),
+k as (select doc_id, date, lower(regexp_replace(subject, '^Re: ', '')) as about, coalesce(who, '') as who from heads left join who using (doc_id)),
+g as (select *, case when date_diff('second', lag(date) over w, date) > 30 * 86400 then 1 else 0 end as g from k window w as (partition by about, who order by date, doc_id))
+select doc_id, cast(sum(g) over (partition by about, who order by date, doc_id rows unbounded preceding) as bigint) as session from g""")
 def _win02(spark, sf):
-    return messages.sessions(heads(spark, sf), ["contact_id"]).select("doc_id", "session")
+    return messages.conversations(heads(spark, sf), recipients(spark, sf))
 
 
 @query("O_WIN_05_file_numbers", """
@@ -323,7 +326,7 @@ with t as (select doc_id, ' ' || array_to_string(list_filter(string_split_regex(
 select doc_id from t where contains(w, ' licensed under apache license ') or contains(w, ' under apache license ')""", views=False)
 def _txt06p(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", fulltext.tokens(F.col("text"), stemmed=False).alias("body"))
-    return d.where(fulltext._phrase(F.col("body"), ["under", "apache", "license"])).select("doc_id")
+    return d.where(fulltext.compile_query('"under apache license"', {"body": F.col("body")}, ("body",))).select("doc_id")
 
 
 @query("O_TXT_15_term_counts", r"""
@@ -381,7 +384,7 @@ def _policy(spark, sf):
 
 @query("O_SET_03_union_of_hits", "select distinct doc_id from (select doc_id from heads where contains(subject, 'URGENT') union all select doc_id from attachments where ext = 'zip')")
 def _set03(spark, sf):
-    return heads(spark, sf).where(F.contains("subject", F.lit("URGENT"))).select("doc_id").union(attachments(spark, sf).where("ext = 'zip'").select("doc_id")).distinct()
+    return collections.union_of([heads(spark, sf).where(F.contains("subject", F.lit("URGENT"))).select("doc_id"), attachments(spark, sf).where("ext = 'zip'").select("doc_id")])
 
 
 @query("O_SRT_01_recent", "select doc_id, date from heads order by date desc, subject, doc_id limit 100")
@@ -399,3 +402,6 @@ def _prj06(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", "text")
     names = entities.mentions(docs).where(F.col("type") == entities.PERSON).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(F.split(F.lower("text"), r"\s+")))).alias("allowed"))
     return docs.join(names, "doc_id", "left").select("doc_id", messages.redact(F.col("text"), F.coalesce("allowed", F.expr("cast(array() as array<string>)"))).alias("text"))
+
+
+from postbag import catalog_more as _more  # noqa: E402, F401  registers its queries here

@@ -54,6 +54,30 @@ def day_parts(c: Column, year: int | None = None, month_: int | None = None, day
     return out
 
 
+def span(year: int | None = None, month_: int | None = None, day: int | None = None) -> tuple[date, date]:
+    """First and last day of a date of which parts may be missing; days past the month's end are its last."""
+    if year is None:
+        return date.min, date.max
+    last_day = lambda m: (date(year + m // 12, m % 12 + 1, 1) - timedelta(days=1)).day
+    if month_ is None:
+        return date(year, 1, 1), date(year, 12, 31)
+    if day is None:
+        return date(year, month_, 1), date(year, month_, last_day(month_))
+    d = min(day, last_day(month_))
+    return date(year, month_, d), date(year, month_, d)
+
+
+def parse(c: Column) -> Column:
+    """A timestamp from the usual written forms, a weekday before it ignored; null if none fits."""
+    forms = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "d MMM yyyy", "MMM d, yyyy", "d MMM yyyy HH:mm:ss Z")
+    bare = F.regexp_replace(c, r"^\s*[A-Za-z]{3}, ", "")
+    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in forms])
+
+
+def display_month(c: Column) -> Column:
+    return F.date_format(c, "MMM")
+
+
 # Month names of loose date specifications.
 _MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 

@@ -247,3 +247,82 @@ def in_size_bucket(size: Column, code: int) -> Column:
 def looks_sane(c: Column) -> Column:
     """No run without white space of more than 1,000 characters."""
     return ~F.coalesce(c, F.lit("")).rlike(r"[^\s]{1001,}")
+
+
+def canonical_variant(c: Column, variants: dict[str, str]) -> Column:
+    """The last name of a chain of variants (nickname to full name); a loop ends where it
+    would begin again.  Chains are followed when the expression is built."""
+    ends = {}
+    for start in variants:
+        seen, now = {start}, variants[start]
+        while now in variants and now not in seen:
+            seen.add(now)
+            now = variants[now]
+        ends[start] = now
+    if not ends:
+        return c
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in ends.items() for x in kv])[c], c)
+
+
+def clean_content(c: Column) -> Column:
+    """Content up to the first line that says `wrote:`, an opening quoted line dropped,
+    blank lines as sentence ends, other line ends as spaces."""
+    lines = F.split(c, "\n")
+    first = F.array_position(F.transform(lines, lambda x: F.instr(x, "wrote:") > 0), True)
+    kept = F.when(first > 0, F.slice(lines, 1, first.cast("int") - 1)).otherwise(lines)
+    whole = F.concat(F.array_join(kept, "\n"), F.when(F.size(kept) > 0, "\n").otherwise(""))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(whole, "^>+.*", ""), "\n\n", ". "), "\n", " ")
+
+
+def clean_name(c: Column) -> Column:
+    """A candidate name without marks, possessive, field marks and greetings around it;
+    null if a stop word or hyphen is in it."""
+    n = F.regexp_replace(c, r"^\W+|\W+$", "")
+    n = F.regexp_replace(F.regexp_replace(n, r"'s$", ""), r"\w+:\W+", "")
+    n = F.regexp_replace(F.regexp_replace(n, r"([Dd]ear|[hH]i|[hH]ello)\W+", ""), r"^\W+|\W+$", "")
+    stop = F.arrays_overlap(F.split(F.lower(n), r"\s+"), F.array(*map(F.lit, STOP_WORDS)))
+    return F.when(~stop & (F.instr(n, "-") == 0), n)
+
+
+def scrub_name(c: Column) -> Column:
+    """A name on one line, without tags, braces and quotes."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"</?[A-Za-z]+[^>]*>", ""), r"[{}\"]", ""))
+
+
+def prefixes(c: Column) -> Column:
+    """All beginnings of a phrase, shortest first, in whole words."""
+    w = F.split(F.trim(c), r"\s+")
+    return F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.array_join(F.slice(w, F.lit(1), i), " "))
+
+
+def suffixes(c: Column) -> Column:
+    """All ends of a phrase, longest first, in whole words."""
+    w = F.split(F.trim(c), r"\s+")
+    return F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.array_join(F.slice(w, i, F.size(w)), " "))
+
+
+def phrase_parts(c: Column) -> Column:
+    """Distinct runs of whole words of a phrase."""
+    w = F.split(F.trim(c), r"\s+")
+    runs = F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(i, F.size(w)), lambda j: F.array_join(F.slice(w, i, j - i + 1), " ")))
+    return F.array_distinct(F.flatten(runs))
+
+
+def alternate_emails(c: Column) -> Column:
+    """Addresses of a list at commas, spaces or tabs, lower-cased, each once."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[\t ,]+"), lambda x: x != ""))
+
+
+def any_part(c: Column, query: str) -> Column:
+    """The lower-cased text holds one of the parts of a query at `|`."""
+    parts = [p.strip() for p in query.split("|") if p.strip()]
+    out = F.lit(False)
+    for p in parts:
+        out = out | (F.instr(F.lower(c), p) > 0)
+    return out
+
+
+def number_tokens(c: Column) -> Column:
+    """Lower-cased tokens that keep numbers whole: digits with separators, signs and dashes
+    inside, else runs of letters and digits."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"([0-9]+(?:[.,:/-][0-9]+)+|[\p{L}\p{N}]+)"), 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postbag.functions import dates
 from postbag.functions import text as T
+from postbag.operators.windows import numbered
 
 # Bits of the mailing-list state.
 USER_ASSIGNED, SUPER_DEFINITE, DEFINITE, MAYBE, DEFINITE_NOT = 16, 8, 1, 2, 4
@@ -49,7 +50,7 @@ def summaries(docs: DataFrame, messages: DataFrame) -> DataFrame:
 
 def ranked(summary: DataFrame) -> DataFrame:
     """Order of the correspondents page: by messages in, then by messages out."""
-    return summary.withColumn("place", F.row_number().over(Window.orderBy(F.desc("sent"), F.desc(F.col("received") + F.col("received_from_owner")), "contact_id")))
+    return numbered(summary, [(-F.col("sent")).alias("s"), (-(F.col("received") + F.col("received_from_owner"))).alias("r")], ["contact_id"], "place")
 
 
 def participants(docs: DataFrame, owner_id) -> DataFrame:
@@ -97,3 +98,21 @@ def authority_candidates(contacts: DataFrame, authorities: DataFrame) -> DataFra
     c = c.withColumn("key", F.element_at(F.array_sort(F.transform(F.split("name", r"\s+"), lambda w: F.struct(F.length(w).alias("l"), w.alias("w")))), -1)["w"])
     a = authorities.select("authority_id", "label", F.explode(F.array_distinct(F.split(F.lower("label"), r"[^\p{L}\p{N}#]+"))).alias("key"))
     return c.join(a, "key").where(F.instr(F.concat(F.lit(" "), F.regexp_replace(F.lower("label"), r"[^\p{L}\p{N}#]+", " "), F.lit(" ")), F.concat(F.lit(" "), F.col("name"), F.lit(" "))) > 0).select("contact_id", "authority_id", "label").distinct()
+
+
+def occurrences(addresses: DataFrame) -> DataFrame:
+    """Times that each contact stands in an address field (not distinct messages)."""
+    return addresses.groupBy("contact_id").agg(F.count("*").alias("n"))
+
+
+def weighted(addresses: DataFrame) -> DataFrame:
+    """Weight of each contact: a message gives one in equal parts to its participants."""
+    n = addresses.groupBy("doc_id").agg(F.count("*").alias("k"))
+    return addresses.join(n, "doc_id").groupBy("contact_id").agg(F.sum(1 / F.col("k")).alias("weight"))
+
+
+def unique_masks(emails: DataFrame) -> DataFrame:
+    """(email, mask): domains hidden; addresses that would look alike get ` (n)` numbers from the second on."""
+    masked = emails.select("email").distinct().withColumn("m", T.mask_domain(F.col("email")))
+    n = F.row_number().over(Window.partitionBy("m").orderBy("email")) - 1
+    return masked.withColumn("n", n).select("email", F.when(F.col("n") == 0, F.col("m")).otherwise(F.concat("m", F.lit("("), F.col("n").cast("string"), F.lit(")"))).alias("mask"))

@@ -122,3 +122,36 @@ def type_tree(types: DataFrame) -> DataFrame:
     """Counts of a `a/b/c` type path at each of its levels."""
     parts = F.split("path", "/")
     return types.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("level"), "n").groupBy("level").agg(F.sum("n").alias("n"))
+
+
+def with_captions(hits: DataFrame, captions: list[str]) -> DataFrame:
+    """Texts that hold all of the captions (`None`: those without any)."""
+    return hits.where(F.col("caption").isin(captions)).groupBy("doc_id").agg(F.countDistinct("caption").alias("n")).where(F.col("n") == len(set(captions))).select("doc_id")
+
+
+def without_kill_phrases(found: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Mentions that are not on a list of phrases (column phrase), whatever case and spaces."""
+    key = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    bad = phrases.select(key(F.col("phrase")).alias("_k")).distinct()
+    return found.where("text is not null").withColumn("_k", key(F.col("text"))).join(bad, "_k", "left_anti").drop("_k")
+
+
+def name_table(found: DataFrame, hits: DataFrame, people: DataFrame) -> DataFrame:
+    """Per name: mentions, messages, messages by caption (as a map), and people met in them."""
+    named = found.withColumn("cname", T.entity_key(F.col("text")))
+    base = named.groupBy("cname").agg(F.count("*").alias("mentions"), F.countDistinct("doc_id").alias("messages"))
+    docs = named.select("cname", "doc_id").distinct()
+    tone = docs.join(hits, "doc_id").groupBy("cname", "caption").agg(F.countDistinct("doc_id").alias("n")).groupBy("cname").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("caption", "n")))).alias("captions"))
+    met = docs.join(people, "doc_id").groupBy("cname").agg(F.countDistinct("contact_id").alias("people"))
+    return base.join(tone, "cname", "left").join(met, "cname", "left").select("cname", "mentions", "messages", F.coalesce("captions", F.expr("cast(map() as map<string,bigint>)")).alias("captions"), F.coalesce("people", F.lit(0)).alias("people"))
+
+
+def closest(features: DataFrame, target: str, top: int) -> DataFrame:
+    """Entities most like the target by cosine of their features (entity, feature, weight):
+    addresses and names that stand with them.  Only features of the target are joined."""
+    norm = features.groupBy("entity").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    mine = features.where(F.col("entity") == target).select("feature", F.col("weight").alias("w"))
+    dot = features.where(F.col("entity") != target).join(mine, "feature").groupBy("entity").agg(F.sum(F.col("weight") * F.col("w")).alias("dot"))
+    own = mine.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("own"))
+    scored = dot.join(norm, "entity").join(F.broadcast(own), how="cross")  # one row on the right
+    return scored.select("entity", (F.col("dot") / (F.col("norm") * F.col("own"))).alias("score")).orderBy(F.desc("score"), "entity").limit(top)

@@ -139,3 +139,38 @@ def filename_numbers(attachments: DataFrame) -> DataFrame:
     n = F.row_number().over(w) - 1
     dot = F.when(T.extension(F.col("filename")).isNotNull(), F.concat(F.lit("."), F.regexp_extract("filename", r"\.([^./\\]{1,5})$", 1))).otherwise("")
     return attachments.withColumn("export_name", F.when(n == 0, F.col("filename")).otherwise(F.concat(T.base_name(F.col("filename")), F.lit(" ("), n.cast("string"), F.lit(")"), dot)))
+
+
+def by_person(contact_docs: DataFrame, owner_id) -> DataFrame:
+    """Messages per contact that takes part in any role, the owner left out."""
+    return facet(contact_docs.where(F.col("contact_id") != F.lit(owner_id)), F.col("contact_id"))
+
+
+def attachments_by(attachments: DataFrame, messages: DataFrame, key: Column) -> DataFrame:
+    """Attachments (not messages) by a property of their message."""
+    keyed = messages.select("doc_id", key.alias("value")).where("value is not null")
+    return attachments.select("doc_id").join(keyed, "doc_id").groupBy("value").agg(F.count("*").alias("n"))
+
+
+def attachment_classes(attachments: DataFrame) -> DataFrame:
+    return attachments.groupBy(T.file_class(F.col("ext")).alias("value")).agg(F.count("*").alias("n"))
+
+
+def duplicate_stats(duplicates: DataFrame, attachments: DataFrame) -> DataFrame:
+    """One row: duplicates found, and attachment bytes that dropping them saved."""
+    size = attachments.groupBy("doc_id").agg(F.sum("size").alias("bytes"))
+    per = duplicates.groupBy("kept_doc_id").agg(F.count("*").alias("n"))
+    j = per.join(size, per.kept_doc_id == size.doc_id, "left")
+    return j.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicates"), F.coalesce(F.sum(F.col("n") * F.coalesce("bytes", F.lit(0))), F.lit(0)).alias("bytes_saved"))
+
+
+def distinct_values(messages: DataFrame, attachments: DataFrame) -> DataFrame:
+    """(list, value): the folders, sources, labels and attachment names that occur."""
+    kinds = {"folder": "folder", "source": "email_source", "label": "label"}
+    pairs = messages.select(F.explode(F.array(*[F.struct(F.lit(k).alias("list"), F.col(c).alias("value")) for k, c in kinds.items()])).alias("x")).select("x.*")
+    return pairs.unionByName(attachments.select(F.lit("attachment").alias("list"), F.col("filename").alias("value"))).where("value is not null").distinct()
+
+
+def caption_months(hits: DataFrame, messages: DataFrame) -> DataFrame:
+    """Messages per month and lexicon caption; `None` is the layer of those without any."""
+    return monthly(hits.join(messages.select("doc_id", "date"), "doc_id"), ["caption"])

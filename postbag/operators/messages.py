@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postbag.functions import text as T
+from postbag.operators.windows import numbered
 
 # Ids of the system labels.
 DO_NOT_TRANSFER, CLEARED, RESTRICTED, TO_DELIVERY_ONLY = "0", "1", "2", "7"
@@ -39,12 +40,12 @@ def merge(one: DataFrame, other: DataFrame, key: str = "uid") -> DataFrame:
 def threads(messages: DataFrame, correspondents: DataFrame) -> DataFrame:
     """thread_id: rank, by first message, of (bare subject, sorted correspondents).
 
-    The rank is over keys, not messages: keys are numbered after a group-by.
+    The rank is over keys, not messages: keys are numbered by day after a group-by.
     """
     who = correspondents.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("email")), ",").alias("who"))
     keyed = messages.join(who, "doc_id", "left").withColumn("k", F.sha2(F.concat_ws("\x01", F.lower(T.bare_subject(F.coalesce("subject", F.lit("")))), F.coalesce("who", F.lit(""))), 256))
     firsts = keyed.groupBy("k").agg(F.min(F.struct("date", "doc_id")).alias("f"))
-    ids = firsts.select("k", F.row_number().over(Window.orderBy("f.date", "f.doc_id")).cast("long").alias("thread_id"))
+    ids = numbered(firsts.select("k", "f.date", "f.doc_id"), [F.to_date("date").alias("d")], ["date", "doc_id"], "thread_id").select("k", "thread_id")
     return keyed.join(ids, "k").select("doc_id", "thread_id")
 
 
@@ -55,6 +56,13 @@ def sessions(messages: DataFrame, key: list[str], days: int = 30) -> DataFrame:
     return messages.withColumn("_g", gap.cast("int")).withColumn("session", F.sum("_g").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_g")
 
 
+def conversations(messages: DataFrame, correspondents: DataFrame, days: int = 30) -> DataFrame:
+    """Sessions of messages with the same normal subject and the same recipients: (doc_id, session)."""
+    who = correspondents.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("email")), ",").alias("who"))
+    keyed = messages.join(who, "doc_id", "left").withColumn("who", F.coalesce("who", F.lit(""))).withColumn("about", T.normal_subject(F.coalesce("subject", F.lit(""))))
+    return sessions(keyed, ["about", "who"], days).select("doc_id", "session")
+
+
 def clean_dates(messages: DataFrame) -> DataFrame:
     """Null dates become the archive's first date, dates beyond now its last one before."""
     late = F.col("date") > F.current_timestamp() + F.expr("interval 1 day")
@@ -70,9 +78,9 @@ def expired(date: Column, until: Column, years: Column, now: Column) -> Column:
 def exportable(messages: DataFrame, doc_labels: DataFrame, label_defs: DataFrame, mode: str, now: str, need_permission: str | None = None) -> DataFrame:
     """Messages that a policy lets out.
 
-    processing: all without do-not-transfer.  delivery, discovery: a timed
-    restriction must be over and the message cleared; other restrictions need
-    clearance; transfer-to-delivery-only bars discovery.
+    processing: all without do-not-transfer.  delivery, discovery: do-not-transfer
+    needs clearance; all timed restrictions must be over and the message cleared;
+    transfer-to-delivery-only bars discovery.  Other restrictions bar nothing.
     """
     d = doc_labels.join(label_defs, "label_id").join(messages.select("doc_id", "date"), "doc_id")
     timed = F.col("restriction").isin("RESTRICTED_UNTIL", "RESTRICTED_FOR_YEARS")
@@ -83,19 +91,20 @@ def exportable(messages: DataFrame, doc_labels: DataFrame, label_defs: DataFrame
         has(F.col("label_id") == CLEARED, "cleared"),
         has(F.col("label_id") == TO_DELIVERY_ONLY, "delivery_only"),
         has(timed & ~over, "timed_open"),
-        has((F.col("type") == "RESTRICTION") & ~F.col("label_id").isin(CLEARED), "restricted"),
+        has(timed, "timed"),
         has(F.col("label_id") == F.lit(need_permission), "permitted"),
     )
-    m = messages.join(flags, "doc_id", "left").na.fill(0, ["dnt", "cleared", "delivery_only", "timed_open", "restricted", "permitted"])
+    m = messages.join(flags, "doc_id", "left").na.fill(0, ["dnt", "cleared", "delivery_only", "timed_open", "timed", "permitted"])
     if mode == "processing":
         ok = F.col("dnt") == 0
     else:
-        ok = (F.col("timed_open") == 0) & ((F.col("restricted") == 0) | (F.col("cleared") == 1)) & ((F.col("dnt") == 0) | (F.col("cleared") == 1))
+        cleared = F.col("cleared") == 1
+        ok = ((F.col("dnt") == 0) | cleared) & ((F.col("timed") == 0) | ((F.col("timed_open") == 0) & cleared))
         if mode == "discovery":
             ok = ok & (F.col("delivery_only") == 0)
     if need_permission:
         ok = ok & (F.col("permitted") == 1)
-    return m.where(ok).drop("dnt", "cleared", "delivery_only", "timed_open", "restricted", "permitted")
+    return m.where(ok).drop("dnt", "cleared", "delivery_only", "timed_open", "timed", "permitted")
 
 
 def set_labels(doc_labels: DataFrame, doc_ids: DataFrame, label: str) -> DataFrame:
@@ -126,3 +135,49 @@ def redact(text: Column, allowed: Column) -> Column:
     """
     spaced = F.split(text, r"(?<=[^\p{L}\p{N}])|(?=[^\p{L}\p{N}])")
     return F.array_join(F.transform(spaced, lambda w: F.when(w.rlike(r"^[^\p{L}\p{N}]*$") | F.array_contains(allowed, F.lower(w)), w).otherwise(F.repeat(F.lit("."), F.length(w)))), "")
+
+
+def siblings(threads_: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """Messages in the threads of the given ones, these included."""
+    asked = threads_.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi").select("thread_id").distinct()
+    return threads_.join(asked, "thread_id", "left_semi").select("thread_id", "doc_id")
+
+
+def fetched(messages: DataFrame, start: str | None = None, end: str | None = None, contact_docs: DataFrame | None = None, contacts: list | None = None, sent_by: list[str] | None = None) -> DataFrame:
+    """Filter at import: days, any of some contacts, only what an own address sent."""
+    from postbag.functions import dates
+
+    out = messages.where(dates.within(F.col("date"), start, end))
+    if sent_by:
+        out = out.where(T.clean_email(F.col("from_email")).isin([a.lower() for a in sent_by]))
+    if contacts:
+        out = out.join(contact_docs.where(F.col("contact_id").isin(contacts)).select("doc_id"), "doc_id", "left_semi")
+    return out
+
+
+def data_errors(messages: DataFrame, recipients: DataFrame) -> DataFrame:
+    """(doc_id, error) rows of an import report: no valid date, no subject, no recipient."""
+    from postbag.functions import dates
+
+    got = messages.join(recipients.select("doc_id").distinct().withColumn("_to", F.lit(True)), "doc_id", "left")
+    flags = [F.when(~dates.is_valid(F.col("date")), "no date"), F.when(F.coalesce(F.trim("subject"), F.lit("")) == "", "no subject"), F.when(F.col("_to").isNull(), "no recipient")]
+    return got.select("doc_id", F.explode(F.array_compact(F.array(*flags))).alias("error"))
+
+
+def without_attachment_details(attachments: DataFrame) -> DataFrame:
+    """Attachments as discovery shows them: shortened name, size 0."""
+    return attachments.withColumn("filename", T.ellipsize(F.col("filename"), 10)).withColumn("size", F.lit(0).cast("long"))
+
+
+def for_mode(messages: DataFrame, mode: str, allowed: Column | None = None) -> DataFrame:
+    """Columns as an export mode shows them.  delivery masks addresses; discovery drops
+    HTML, headers and original bodies and redacts subject and body to `allowed` words."""
+    if mode == "delivery":
+        return messages.withColumn("from_email", T.mask_domain(F.col("from_email")))
+    if mode == "discovery":
+        out = messages.drop("text_html", "headers", "body_original", "attachments")
+        for c in ("subject", "body"):
+            if c in out.columns:
+                out = out.withColumn(c, redact(F.col(c), allowed))
+        return out
+    return messages
