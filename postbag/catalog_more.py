@@ -233,37 +233,36 @@ query("O_PRJ_09_unique_masks", "select email, case when email like '%@a.example'
 
 
 def _fn(name, columns, sql, table="customer", key="c_custkey"):
-    """A query of functions over the rows of a table."""
-    query(name, f"select {key}, {sql} from {table}", views=False)(lambda s, d: read(s, d, table).select(key, *[c.alias(n) for n, c in columns.items()]))
+    """A query of functions over the rows of a table; columns are built when it runs."""
+    query(name, f"select {key}, {sql} from {table}", views=False)(lambda s, d: read(s, d, table).select(key, *[c.alias(n) for n, c in columns(F.col("c_name") if table == "customer" else None).items()]))
 
 
-_c = F.col("c_name")
 _cat = F.concat
 _l = F.lit
-_fn("O_STR_02_clean_person", {"a": T.clean_person_name(_cat(_l(' "<'), _c, _l(">[ "))), "b": T.clean_person_name(_cat(_l("Unknown "), _c)), "e": T.clean_person_name(_cat(_c, _l("@X.org")))}, "c_name as a, cast(null as varchar) as b, lower(c_name) || '@x.org' as e")
-_fn("O_STR_03_name_key", {"k": T.name_key(_cat(_l("Smith, Bob Q. "), _c)), "b": T.name_key(_cat(_c, _l(" smith q robert")))}, "lower(c_name) || ' robert smith' as k, lower(c_name) || ' robert smith' as b")
-_fn("O_STR_04_variants", {"v": T.canonical_variant(F.lower("c_mktsegment"), {"building": "house", "house": "home", "machinery": "tools", "tools": "machinery"})}, "case lower(c_mktsegment) when 'building' then 'home' else lower(c_mktsegment) end as v")
-_fn("O_STR_06_bare_subject", {"s": T.bare_subject(_cat(_l("Re: FWD: [list] re:"), _c)), "t": T.bare_subject(_cat(_l("[a list name of more than twenty] "), _c))}, "c_name as s, '[a list name of more than twenty] ' || c_name as t")
-_fn("O_STR_07_normal_subject", {"s": T.normal_subject(_cat(_l(" Re: Re: "), _c))}, "'re: ' || lower(c_name) as s")
-_fn("O_STR_08_original", {"o": T.original_content(_cat(_c, _l("\n> old\nnew\nOn Monday x wrote:\nrest")))}, "c_name || chr(10) || ' . ' || chr(10) || 'new' as o")
-_fn("O_STR_09_clean_content", {"o": T.clean_content(_cat(_l(">> quoted\n"), _c, _l("\n\nnext\nX wrote:\nrest")))}, "' ' || c_name || '. next ' as o")
-_fn("O_STR_11_short_forms", {"e": T.ellipsize(_c, 12), "p": T.pad_width(F.substring(_c, 1, 3), 5), "u": T.capitalize_first(F.lower("c_mktsegment"))}, "c_name[1:9] || '...' as e, c_name[1:3] || '  ' as p, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) as u")
-_fn("O_STR_12_strip", {"p": T.strip_punctuation(_c), "b": T.strip_brackets(_cat(_l("[("), _c, _l("}>")))}, "replace(c_name, '#', '') as p, c_name as b")
-_fn("O_STR_13_acronyms", {"a": T.acronym(_cat(_c, _l(" of Big old Things"))), "u": T.all_upper(F.col("c_mktsegment")), "v": T.all_upper(_c)}, "'CBT' as a, true as u, false as v")
-_fn("O_STR_14_hash", {"h": F.sha2(_c, 256)}, "sha256(c_name) as h")
-_fn("O_STR_16_paths", {"t": T.path_tail(_cat(_l("a/b\\"), _c, _l("/"))), "f": T.safe_file_name(_c), "u": T.url_tail(_cat(_l("http://x.org/a/"), _c, _l("?q=1"))), "d": T.top_level_domain(_l("http://www.some.example.org:80/x"))}, "c_name as t, replace(c_name, '#', '_') as f, 'Customer' as u, 'example.org' as d")
-_fn("O_STR_18_whole_word", {"w": T.whole_word(_cat(_l("x "), _c, _l("red red1")), "red1"), "n": T.whole_word(_cat(_c, _l(" reds")), "red")}, "true as w, false as n")
-_fn("O_STR_19_names", {"a": T.clean_name(_cat(_l("(Dear "), _c, _l("'s"))), "b": T.clean_name(_cat(_l("the "), _c)), "e": T.scrub_name(_cat(_l('<b>{"'), _c, _l('"}</b>\n')))}, "c_name as a, cast(null as varchar) as b, c_name as e")
-_fn("O_STR_20_word_pairs", {"p": T.word_pairs(_cat(_c, _l(" house of red")))}, "[c_name || ' house'] as p")
-_fn("O_STR_21_phrase_parts", {"p": T.prefixes(_cat(_c, _l(" b  c"))), "s": T.suffixes(_cat(_c, _l(" b  c"))), "n": _long(F.size(T.phrase_parts(_cat(_c, _l(" b c b")))))}, "[c_name, c_name || ' b', c_name || ' b c'] as p, [c_name || ' b c', 'b c', 'c'] as s, cast(9 as bigint) as n")
-_fn("O_STR_22_best_name", {"a": T.best_name_score(_cat(_c, _l(" Smith"))), "b": T.best_name_score(F.lower(_c)), "e": T.best_name_score(_cat(_c, _l(",x")))}, "cast(11000 + length(c_name) + 6 as integer) as a, cast(length(c_name) as integer) as b, cast(900 + length(c_name) + 2 as integer) as e")
-_fn("O_STR_23_address_parts", {"l": T.login(_cat(_c, _l("@mail.acme.org"))), "o": T.organisation(_cat(_c, _l("@mail.acme.org"))), "n": T.last_name(_cat(_l("Ann "), _c, _l(" ")))}, "c_name as l, 'acme' as o, c_name as n")
-_fn("O_STR_24_alternate_emails", {"e": T.alternate_emails(_cat(_c, _l(", A@x.org\ta@X.org,,b@x.org")))}, "[lower(c_name), 'a@x.org', 'b@x.org'] as e")
-_fn("O_STR_25_name_match", {"a": T.name_match(_c, _cat(_l("Ann "), _c)), "b": T.name_match(_l("CB"), _cat(_c, _l(" Big"))), "e": T.name_match(_cat(_c, _l(" Ann")), _cat(_l("Ann B "), _c)), "f": T.name_match(_c, _c)}, "'CONTAINED' as a, 'ACRONYM' as b, 'CONTAINED_DIFFERENT_ORDER' as e, cast(null as varchar) as f")
-_fn("O_STR_27_scripts", {"a": T.scripts(_c), "b": T.scripts(_cat(_c, _l(" привет γεια")))}, "['english'] as a, ['english', 'russian', 'greek'] as b")
-_fn("O_TXT_04_number_tokens", {"t": T.number_tokens(_cat(_l("Paid 1,250.50 on 2001-02-03 to "), _c))}, "['paid', '1,250.50', 'on', '2001-02-03', 'to', 'customer', split_part(c_name, '#', 2)] as t")
-_fn("O_DAT_03_parse", {"a": dates.parse(_l("2001-02-03 04:05:06")), "b": dates.parse(_l("Sat, 3 Feb 2001")), "e": dates.parse(_c), "f": F.date_format(dates.parse(_l("2001/02/03")), "yyyy-MM-dd")}, "timestamp '2001-02-03 04:05:06' as a, timestamp '2001-02-03' as b, cast(null as timestamp) as e, '2001-02-03' as f")
-_fn("O_DAT_04_display_month", {"m": dates.display_month(F.col("o_orderdate")), "q": dates.quarter_start(F.col("o_orderdate"))}, "strftime(o_orderdate, '%b') as m, cast(date_trunc('quarter', o_orderdate) as timestamp) as q", "orders", "o_orderkey")
+_fn("O_STR_02_clean_person", lambda _c: {"a": T.clean_person_name(_cat(_l(' "<'), _c, _l(">[ "))), "b": T.clean_person_name(_cat(_l("Unknown "), _c)), "e": T.clean_person_name(_cat(_c, _l("@X.org")))}, "c_name as a, cast(null as varchar) as b, lower(c_name) || '@x.org' as e")
+_fn("O_STR_03_name_key", lambda _c: {"k": T.name_key(_cat(_l("Smith, Bob Q. "), _c)), "b": T.name_key(_cat(_c, _l(" smith q robert")))}, "lower(c_name) || ' robert smith' as k, lower(c_name) || ' robert smith' as b")
+_fn("O_STR_04_variants", lambda _c: {"v": T.canonical_variant(F.lower("c_mktsegment"), {"building": "house", "house": "home", "machinery": "tools", "tools": "machinery"})}, "case lower(c_mktsegment) when 'building' then 'home' else lower(c_mktsegment) end as v")
+_fn("O_STR_06_bare_subject", lambda _c: {"s": T.bare_subject(_cat(_l("Re: FWD: [list] re:"), _c)), "t": T.bare_subject(_cat(_l("[a list name of more than twenty] "), _c))}, "c_name as s, '[a list name of more than twenty] ' || c_name as t")
+_fn("O_STR_07_normal_subject", lambda _c: {"s": T.normal_subject(_cat(_l(" Re: Re: "), _c))}, "'re: ' || lower(c_name) as s")
+_fn("O_STR_08_original", lambda _c: {"o": T.original_content(_cat(_c, _l("\n> old\nnew\nOn Monday x wrote:\nrest")))}, "c_name || chr(10) || ' . ' || chr(10) || 'new' as o")
+_fn("O_STR_09_clean_content", lambda _c: {"o": T.clean_content(_cat(_l(">> quoted\n"), _c, _l("\n\nnext\nX wrote:\nrest")))}, "' ' || c_name || '. next ' as o")
+_fn("O_STR_11_short_forms", lambda _c: {"e": T.ellipsize(_c, 12), "p": T.pad_width(F.substring(_c, 1, 3), 5), "u": T.capitalize_first(F.lower("c_mktsegment"))}, "c_name[1:9] || '...' as e, c_name[1:3] || '  ' as p, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) as u")
+_fn("O_STR_12_strip", lambda _c: {"p": T.strip_punctuation(_c), "b": T.strip_brackets(_cat(_l("[("), _c, _l("}>")))}, "replace(c_name, '#', '') as p, c_name as b")
+_fn("O_STR_13_acronyms", lambda _c: {"a": T.acronym(_cat(_c, _l(" of Big old Things"))), "u": T.all_upper(F.col("c_mktsegment")), "v": T.all_upper(_c)}, "'CBT' as a, true as u, false as v")
+_fn("O_STR_14_hash", lambda _c: {"h": F.sha2(_c, 256)}, "sha256(c_name) as h")
+_fn("O_STR_16_paths", lambda _c: {"t": T.path_tail(_cat(_l("a/b\\"), _c, _l("/"))), "f": T.safe_file_name(_c), "u": T.url_tail(_cat(_l("http://x.org/a/"), _c, _l("?q=1"))), "d": T.top_level_domain(_l("http://www.some.example.org:80/x"))}, "c_name as t, replace(c_name, '#', '_') as f, 'Customer' as u, 'example.org' as d")
+_fn("O_STR_18_whole_word", lambda _c: {"w": T.whole_word(_cat(_l("x "), _c, _l("red red1")), "red1"), "n": T.whole_word(_cat(_c, _l(" reds")), "red")}, "true as w, false as n")
+_fn("O_STR_19_names", lambda _c: {"a": T.clean_name(_cat(_l("(Dear "), _c, _l("'s"))), "b": T.clean_name(_cat(_l("the "), _c)), "e": T.scrub_name(_cat(_l('<b>{"'), _c, _l('"}</b>\n')))}, "c_name as a, cast(null as varchar) as b, c_name as e")
+_fn("O_STR_20_word_pairs", lambda _c: {"p": T.word_pairs(_cat(_c, _l(" house of red")))}, "[c_name || ' house'] as p")
+_fn("O_STR_21_phrase_parts", lambda _c: {"p": T.prefixes(_cat(_c, _l(" b  c"))), "s": T.suffixes(_cat(_c, _l(" b  c"))), "n": _long(F.size(T.phrase_parts(_cat(_c, _l(" b c b")))))}, "[c_name, c_name || ' b', c_name || ' b c'] as p, [c_name || ' b c', 'b c', 'c'] as s, cast(9 as bigint) as n")
+_fn("O_STR_22_best_name", lambda _c: {"a": T.best_name_score(_cat(_c, _l(" Smith"))), "b": T.best_name_score(F.lower(_c)), "e": T.best_name_score(_cat(_c, _l(",x")))}, "cast(11000 + length(c_name) + 6 as integer) as a, cast(length(c_name) as integer) as b, cast(900 + length(c_name) + 2 as integer) as e")
+_fn("O_STR_23_address_parts", lambda _c: {"l": T.login(_cat(_c, _l("@mail.acme.org"))), "o": T.organisation(_cat(_c, _l("@mail.acme.org"))), "n": T.last_name(_cat(_l("Ann "), _c, _l(" ")))}, "c_name as l, 'acme' as o, c_name as n")
+_fn("O_STR_24_alternate_emails", lambda _c: {"e": T.alternate_emails(_cat(_c, _l(", A@x.org\ta@X.org,,b@x.org")))}, "[lower(c_name), 'a@x.org', 'b@x.org'] as e")
+_fn("O_STR_25_name_match", lambda _c: {"a": T.name_match(_c, _cat(_l("Ann "), _c)), "b": T.name_match(_l("CB"), _cat(_c, _l(" Big"))), "e": T.name_match(_cat(_c, _l(" Ann")), _cat(_l("Ann B "), _c)), "f": T.name_match(_c, _c)}, "'CONTAINED' as a, 'ACRONYM' as b, 'CONTAINED_DIFFERENT_ORDER' as e, cast(null as varchar) as f")
+_fn("O_STR_27_scripts", lambda _c: {"a": T.scripts(_c), "b": T.scripts(_cat(_c, _l(" привет γεια")))}, "['english'] as a, ['english', 'russian', 'greek'] as b")
+_fn("O_TXT_04_number_tokens", lambda _c: {"t": T.number_tokens(_cat(_l("Paid 1,250.50 on 2001-02-03 to "), _c))}, "['paid', '1,250.50', 'on', '2001-02-03', 'to', 'customer', split_part(c_name, '#', 2)] as t")
+_fn("O_DAT_03_parse", lambda _c: {"a": dates.parse(_l("2001-02-03 04:05:06")), "b": dates.parse(_l("Sat, 3 Feb 2001")), "e": dates.parse(_c), "f": F.date_format(dates.parse(_l("2001/02/03")), "yyyy-MM-dd")}, "timestamp '2001-02-03 04:05:06' as a, timestamp '2001-02-03' as b, cast(null as timestamp) as e, '2001-02-03' as f")
+_fn("O_DAT_04_display_month", lambda _c: {"m": dates.display_month(F.col("o_orderdate")), "q": dates.quarter_start(F.col("o_orderdate"))}, "strftime(o_orderdate, '%b') as m, cast(date_trunc('quarter', o_orderdate) as timestamp) as q", "orders", "o_orderkey")
 _first, _last = dates.span(1996, 2, 31)
 query("O_DAT_02_missing_parts", "select doc_id from heads where date >= timestamp '1996-02-29' and date < timestamp '1997-01-01'")(lambda s, d: heads(s, d).where(dates.within(F.col("date"), _first.isoformat(), dates.span(1996)[1].isoformat())).select("doc_id"))
 query("O_JSN_01_pairs", "select event_id, cast(len(json_keys(props)) as bigint) as n, json_keys(props)[1] as first from events", views=False)(lambda s, d: read(s, d, "events").select("event_id", C.json_pairs(F.col("props")).alias("p")).select("event_id", _long(F.size("p")).alias("n"), F.col("p")[0]["key"].alias("first")))
