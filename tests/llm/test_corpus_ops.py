@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +219,39 @@ def test_sql(spark, name):
     r = c.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in r.description]
     assert sorted(tuple(x[k] for k in cols) for x in df.collect()) == sorted(tuple(row[names.index(k)] for k in cols) for row in r.fetchall())
+
+
+def test_filters_do_not_repeat_the_split(spark, docs):
+    """A filter on a verdict stays above the counts: the plan splits a text as often as without it."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    for df, verdict in ((rules.judge(docs), "kept"), (phrases.contaminated(docs, bench), "contaminated")):
+        splits = [x._jdf.queryExecution().optimizedPlan().toString().count("split(") for x in (df, df.where(verdict))]
+        assert splits[0] == splits[1] > 0
+
+
+def test_rules_on_a_very_long_text(spark):
+    text = " ".join(f"w{i % 19_000}" for i in range(20_000))
+    got = rules.judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).where("kept").collect()
+    assert [(r.n_words, r.n_repeat_words) for r in got] == [(20_000, 2_000)]
+
+
+def test_bitmaps_never_differ_more_than_sets(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 62, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: 400 - k], rng.integers(0, 1 << 62, k, dtype=np.uint64)])) for k in (0, 1, 10, 30, 60)] + [np.unique(base[:330])]
+    maps = neardup.bitmaps(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    assert {len(m) for m in maps} == {16, 32}  # the last one is half as long: pairs with it fold
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    rows = [(maps[i].tolist(), maps[j].tolist(), len(sets[i]) + len(sets[j]), len(np.setxor1d(sets[i], sets[j]))) for i, j in pairs]
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, total int, apart int")
+    for percent in (80, 90):
+        got = df.select(neardup.within("a", "b", F.col("total"), percent).alias("ok"), ((100 + percent) * F.col("apart") <= (100 - percent) * F.col("total")).alias("linked")).collect()
+        assert all(r.ok for r in got if r.linked) and not all(r.ok for r in got)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    words = " ".join(f"a{i}" for i in range(30))
+    rows = [(1, words), (1, "short other text"), (2, words), (3, "short other text"), (None, words)]
+    for part in (rows, rows[::-1]):
+        got = neardup.cluster(spark.createDataFrame(part, "doc_id long, text string"), 2).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 2, 1), (1, 29, 1), (2, 29, 1), (3, 2, 1)]
