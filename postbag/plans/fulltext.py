@@ -188,6 +188,20 @@ def occurrences(col: Column, term: str) -> Column:
     return F.size(F.filter(col, lambda w: w == (want[0] if want else ""))).cast("long")
 
 
+def at_least(cols: list[Column], query: str, k: int) -> Column:
+    """The terms of a query stand `k` times or more in the fields together."""
+    total = F.lit(0)
+    for c in cols:
+        for term in dict.fromkeys(analyse(query)):
+            total = total + F.size(F.filter(c, F.lit(term).eqNullSafe))
+    return total >= k
+
+
+def matched_terms(col: Column, terms: list[str]) -> Column:
+    """Those of `terms` that stand in a token array, as given."""
+    return F.array_compact(F.array(*[F.when(_phrase(col, analyse(t)), F.lit(t)) for t in terms]))
+
+
 def highlight(text: Column, terms: list[str]) -> Column:
     """Text with whole-word occurrences of the terms in <mark> tags."""
     if not terms:

@@ -8,6 +8,7 @@ the candidate set is never materialised and predicates reach the scan.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,7 @@ class SearchSpec:
     """What to search for; names follow the parameters of the archive's search page."""
 
     term: str | None = None
+    least_count: int = 1
     in_body: bool = True
     in_original: bool = False
     in_subject: bool = True
@@ -35,7 +37,9 @@ class SearchSpec:
     contacts: list[int] = field(default_factory=list)
     correspondent: str | None = None
     roles: tuple[str, ...] = ("from", "to", "cc", "bcc")
+    correspondent_list: str | None = None
     doc_ids: list | None = None
+    unique_ids: str | None = None
     address: tuple[str, str] | None = None
     thread_id: int | None = None
     mailing_list: str = "either"
@@ -120,6 +124,8 @@ def search(tables: dict[str, DataFrame], spec: SearchSpec) -> DataFrame:
         if names:
             cols = {n: fulltext.tokens(F.col(n)) for n in names if n in m.columns}
             hits = fulltext.compile_query(spec.term, cols, tuple(cols))
+            if spec.least_count > 1:
+                hits = hits & fulltext.at_least(list(cols.values()), spec.term, spec.least_count)
         if spec.in_attachments:
             blobs = _side(tables, "attachment_text")
             found = blobs.where(fulltext.compile_query(spec.term, {"attachment_text": fulltext.tokens(F.col("body"))}, ("attachment_text",))).select("doc_id").distinct().withColumn("_in_blob", F.lit(True))
@@ -131,10 +137,11 @@ def search(tables: dict[str, DataFrame], spec: SearchSpec) -> DataFrame:
         keep.append(F.concat_ws("\n", "subject", "body").rlike(flag + spec.regex))
     if spec.sender_is:
         keep.append(F.get(F.transform("from", lambda a: T.clean_email(a["email"])), F.lit(0)) == spec.sender_is.lower())
-    if spec.correspondent:
-        wanted = T.split_values(spec.correspondent)
+    if spec.correspondent or spec.correspondent_list:
+        # a list has a line per correspondent and asks for any role
+        wanted = T.split_values(spec.correspondent or spec.correspondent_list.replace("\n", ";"))
         hit = F.lit(False)
-        for role in spec.roles:
+        for role in spec.roles if spec.correspondent else ("from", "to", "cc", "bcc"):
             hit = hit | F.exists(role, lambda a: F.coalesce(T.clean_email(a["email"]).isin(wanted), F.lit(False)) | F.coalesce(F.lower(a["name"]).isin(wanted), F.lit(False)))
         keep.append(hit)
     if spec.address:
@@ -143,6 +150,8 @@ def search(tables: dict[str, DataFrame], spec: SearchSpec) -> DataFrame:
         keep.append(F.exists(every, lambda a: (F.coalesce(a["name"], F.lit("")) == name) & (T.clean_email(a["email"]) == email.lower())))
     if spec.doc_ids is not None:
         keep.append(F.col("doc_id").isin(spec.doc_ids))
+    if spec.unique_ids:
+        keep.append(F.col("uid").isin(T.split_values(spec.unique_ids)))
     if spec.thread_id is not None and spec.thread_id != -1:
         keep.append(F.col("thread_id") == spec.thread_id)
     if spec.email_source:
@@ -192,7 +201,7 @@ def search(tables: dict[str, DataFrame], spec: SearchSpec) -> DataFrame:
         on_list = _side(tables, "contact_docs").join(lists, "contact_id", "left_semi").select("doc_id")
         m = m.join(on_list, "doc_id", "left_semi" if spec.mailing_list == "yes" else "left_anti")
     if spec.entity:
-        keys = [" ".join(sorted(w for w in __import__("re").split(r"[\s\".;,\-#@&()]+", e) if w)) for e in T.split_values(spec.entity)]
+        keys = [" ".join(sorted(w for w in re.split(r"[\s\".;,\-#@&()]+", e) if w)) for e in T.split_values(spec.entity)]
         mentions = _side(tables, "mentions").withColumn("cname", T.entity_key(F.col("text")))
         if spec.entity_expanded:
             aliases = _side(tables, "entity_aliases")
@@ -217,6 +226,11 @@ def search(tables: dict[str, DataFrame], spec: SearchSpec) -> DataFrame:
     return ordered(m, spec.sort, spec.limit, spec.term)
 
 
+def count_hits(tables: dict[str, DataFrame], spec: SearchSpec) -> DataFrame:
+    """A row: how many messages pass, without the sort."""
+    return search(tables, spec).groupBy().agg(F.count("*").alias("hits"))
+
+
 def ordered(m: DataFrame, sort: str = "chronological", limit: int | None = None, term: str | None = None) -> DataFrame:
     """Sorted by date, subject and id (recent: newest first; relevance: occurrences first)."""
     rest = [c for c in ("subject", "doc_id") if c in m.columns]

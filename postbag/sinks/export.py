@@ -67,16 +67,20 @@ def mbox_text(labels: bool = True) -> Column:
     return F.concat(F.concat_ws("\n", *head, F.lit("MIME-Version: 1.0")), F.lit("\n"), content, F.lit("\n"))
 
 
+def _with_parts(messages: DataFrame) -> DataFrame:
+    for name, kind in (("has_plain", "boolean"), ("text_html", "string"), ("attachments", ATTACHMENTS)):
+        if name not in messages.columns:
+            messages = messages.withColumn(name, F.lit(None).cast(kind))
+    return messages
+
+
 def write_mbox(messages: DataFrame, path: str, labels: bool = True) -> None:
     """A folder of mailbox text per mail folder, messages in order of date.
 
     HTML and attachments are written as they are: a redacted copy must have them
     redacted or taken out before.
     """
-    for name, kind in (("has_plain", "boolean"), ("text_html", "string"), ("attachments", ATTACHMENTS)):
-        if name not in messages.columns:
-            messages = messages.withColumn(name, F.lit(None).cast(kind))
-    out = messages.select("folder", "date", mbox_text(labels).alias("text"))
+    out = _with_parts(messages).select("folder", "date", mbox_text(labels).alias("text"))
     out.repartition("folder").sortWithinPartitions("folder", "date").select("folder", "text").write.mode("overwrite").partitionBy("folder").text(path)
 
 
@@ -87,9 +91,58 @@ def with_duplicates(messages: DataFrame, duplicates: DataFrame) -> DataFrame:
 
 
 def result_csv(messages: DataFrame) -> DataFrame:
-    """Rows of a search result's CSV."""
-    flat = lambda n: F.array_join(F.transform(n, lambda a: a["email"]), ";").alias(n)
-    return messages.select("doc_id", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), flat("from"), flat("to"), flat("cc"), flat("bcc"), "subject", "folder", F.size("attachments").alias("attachments"))
+    """Rows of a search result's CSV: eleven columns, named as the mailbox headers they stand for."""
+    line = lambda n: F.coalesce(address_line(F.col(n)), F.lit("")).alias(f"{n.capitalize()}:")
+    text = lambda c, n: F.coalesce(c, F.lit("")).alias(n)
+    return messages.select(
+        text(F.date_format("date", "EEE MMM dd HH:mm:ss yyyy"), "From -"),
+        text(F.date_format("date", "yyyy-MM-dd HH:mm:ss"), "Date:"),
+        *[line(n) for n in ("from", "to", "cc", "bcc")],
+        text(F.col("subject"), "Subject:"),
+        text(F.col("message_id"), "Message-ID:"),
+        text(F.col("folder"), "X-Archive-Folder:"),
+        text(F.col("annotation"), "X-Archive-Annotation:"),
+        text(F.array_join("label_names", ";"), "X-Archive-Labels:"),
+    )
+
+
+def header_rows(messages: DataFrame, book: DataFrame, separator: str = ";") -> DataFrame:
+    """A row per message: date, addresses and best names (book: email, best_name) of each
+    role joined by the separator, subject.  The separator inside a value becomes `_`; an
+    address without a name has its own text there."""
+    roles = ("from", "to", "cc", "bcc")
+    part = lambda r: F.transform(r, lambda a, i: F.struct(F.lit(r).alias("role"), i.alias("i"), F.lower(a["email"]).alias("email")))
+    flat = messages.select("doc_id", F.explode(F.concat(*map(part, roles))).alias("x")).select("doc_id", "x.*")
+    named = flat.join(book.select(F.lower("email").alias("email"), "best_name").dropDuplicates(["email"]), "email", "left").withColumn("best_name", F.coalesce("best_name", "email"))
+    clean = lambda c: F.replace(c, F.lit(separator), F.lit("_"))
+    joined = lambda r, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct("i", clean(F.col(c)).alias("v"))))), lambda x: x["v"]), separator)
+    per = named.groupBy("doc_id").agg(*[joined(r, c).alias(f"{r}_{n}") for r in roles for c, n in (("email", "ids"), ("best_name", "names"))])
+    cells = [F.coalesce(f"{r}_{n}", F.lit("")).alias(f"{r}_{n}") for r in roles for n in ("ids", "names")]
+    return messages.select("doc_id", "date", "subject").join(per, "doc_id", "left").select("doc_id", F.date_format("date", "yyyy-MM-dd").alias("date"), *cells, F.coalesce("subject", F.lit("")).alias("subject"))
+
+
+def eml(messages: DataFrame) -> DataFrame:
+    """(name, content) of one EML file per message: mailbox text without its first line and quoting."""
+    body = F.regexp_replace(F.regexp_replace(mbox_text(False), r"^From [^\n]*\n", ""), r"(?m)^>(>*From )", "$1")
+    return _with_parts(messages).select(F.concat(F.col("doc_id").cast("string"), F.lit(".eml")).alias("name"), F.replace(body, F.lit("\n"), F.lit("\r\n")).alias("content"))
+
+
+def text_dump(messages: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(name, content) of two files per message: subject and body, and its names, lower-cased with _ for spaces."""
+    full = messages.select(F.concat(F.col("doc_id").cast("string"), F.lit(".full")).alias("name"), F.concat(F.coalesce("subject", F.lit("")), F.lit("\n\n"), F.coalesce("body", F.lit("")), F.lit("\n")).alias("content"))
+    said = mentions.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.replace(F.lower("text"), F.lit(" "), F.lit("_")))).alias("names"))
+    names = messages.select("doc_id").join(said, "doc_id", "left").select(F.concat(F.col("doc_id").cast("string"), F.lit(".names")).alias("name"), F.concat(F.coalesce(F.array_join("names", " "), F.lit("")), F.lit("\n")).alias("content"))
+    return full.unionByName(names)
+
+
+def copy_archive(tables: dict[str, DataFrame], path: str, keep: Column | None = None, without: tuple[str, ...] = ()) -> list[str]:
+    """Write an archive's tables anew: only messages that `keep` holds for and what hangs
+    on them, without some columns.  Returns the tables' names."""
+    messages = tables["messages"] if keep is None else tables["messages"].where(keep)
+    for name, df in tables.items():
+        out = messages if name == "messages" else df if keep is None or "doc_id" not in df.columns else df.join(messages.select("doc_id"), "doc_id", "left_semi")
+        out.drop(*without).write.mode("overwrite").parquet(f"{path}/{name}")
+    return list(tables)
 
 
 def authorities_csv(df: DataFrame) -> DataFrame:

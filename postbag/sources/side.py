@@ -22,7 +22,7 @@ def read_address_book(spark: SparkSession, path: str) -> DataFrame:
 
 def read_entity_book(spark: SparkSession, path: str) -> DataFrame:
     """Entities: the first line is the display name, the others are further names."""
-    return records(spark, path).select(F.trim(F.col("lines")[0]).alias("display"), F.transform("lines", F.trim).alias("names"))
+    return records(spark, path).select(F.trim(F.col("lines")[0]).alias("display"), F.transform("lines", lambda x: F.trim(x)).alias("names"))
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:

@@ -5,9 +5,10 @@ from email.message import EmailMessage
 import pytest
 from pyspark.sql import functions as F
 
-from postbag.operators import contacts, entities, messages
+from postbag.operators import archives, contacts, entities, messages
 from postbag.plans.search import SearchSpec, search
 from postbag.sinks import export
+from postbag.sinks.shared import write_files
 from postbag.sources import mbox, side
 from postbag.streaming import ingest
 
@@ -204,3 +205,31 @@ def test_stream_drops_repeats(spark, tmp_path):
     ingest.to_table(ingest.new_messages(spark, src, "uid string, date timestamp, folder string"), out, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(out).count() == 2
     assert os.path.isdir(out)
+
+
+def test_entity_book_keeps_digits(spark, tmp_path):
+    (tmp_path / "book").write_text("--\nRoom 100\nthe 101\n--\n 1 Main St \n")
+    rows = sorted((r.display, r.names) for r in side.read_entity_book(spark, str(tmp_path / "book")).collect())
+    assert rows == [("1 Main St", ["1 Main St"]), ("Room 100", ["Room 100", "the 101"])]
+
+
+def test_eml_files(spark, mail, tmp_path):
+    m = mail.withColumn("annotation", F.lit("")).withColumn("label_names", F.array().cast("array<string>"))
+    write_files(export.eml(m), str(tmp_path / "eml"))
+    names = os.listdir(tmp_path / "eml")
+    assert sorted(names) == sorted(f"{r.doc_id}.eml" for r in m.collect())
+    got = [mbox.parse_message((tmp_path / "eml" / n).read_bytes(), "eml") for n in names]
+    plans = next(g for g in got if g["subject"] == "Plans")
+    assert plans["to"] == [{"name": None, "email": "bob@y.org"}, {"name": "Cy", "email": "cy@z.org"}]
+    assert [a["filename"] for a in plans["attachments"]] == ["note.txt"] and "From here" in plans["body"]
+
+
+def test_archive_merge_keeps_lexicons_and_edits(spark):
+    lex = lambda *n: spark.createDataFrame([(x, "c") for x in n], "name string, caption string")
+    m = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, uid string")
+    acc = m.select("doc_id", F.lit("x").alias("accession_id"))
+    one = {"messages": m.where("doc_id = 1"), "accessions": acc.where("doc_id = 1"), "lexicon": lex("s", "t")}
+    got = archives.merge_archives(one, {"messages": m, "accessions": acc, "lexicon": lex("t", "u")}, "new")
+    assert sorted(r.name for r in got["lexicon"].collect()) == ["s", "t", "u"]
+    assert {r.doc_id: r.accession_id for r in got["accessions"].collect()} == {1: "x", 2: "new"}
+    assert [r.bits for r in archives.direction(acc, m, None).collect()] == [1, 1]
