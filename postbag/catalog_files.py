@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from postbag.catalog import archive, query
 from postbag.catalog_more import ROLES, _found
 from postbag.functions import text as T
-from postbag.operators import archives, contacts, entities, messages
+from postbag.operators import archives, contacts, entities, facets, messages
 from postbag.operators.model import OWNER, attachments, heads, read, recipients
 from postbag.plans import fulltext
 from postbag.plans.search import SearchSpec, count_hits, ordered, search
@@ -369,3 +369,70 @@ query("O_SRT_02_relevance", _COUNT + "select doc_id, len(list_filter(w, lambda x
 query("O_AGG_30_lens", _COUNT + ", p(term, page_score, boost) as (values ('idiot', 0.5, 2.0), ('moron', 1.5, 1.0), ('zzzzz', 3.0, 1.0), ('trash', 2.0, 0.0)) select term, cast(coalesce(n, 0) as bigint) as index_score, cast(page_score * coalesce(n, 0) * boost as double) as score from p left join (select term, count(*) as n from p join t on list_contains(w, term) group by 1) using (term)", views=False)(
     lambda s, d: entities.lens(read(s, d, "documents"), s.createDataFrame([("Idiot!", 0.5, 2.0), ("moron", 1.5, 1.0), ("zzzzz", 3.0, 1.0), ("trash", 2.0, 0.0), ("of", 9.0, 9.0)], "term string, page_score double, boost double"))
 )
+
+query("O_SRC_17_point_lookup", "select doc_id, subject from heads where doc_id = 33")(lambda s, d: search({"messages": heads(s, d)}, SearchSpec(doc_ids=[33])).select("doc_id", "subject"))
+
+
+@query("O_SNK_01_added_archive", "select folder, count(*) as n from heads group by 1")
+def _snk01(s, d):
+    path = shared_folder(s, "archive")
+    export.save_archive({"messages": heads(s, d).where("doc_id % 3 = 0")}, path)
+    export.save_archive({"messages": heads(s, d).where("doc_id % 3 != 0")}, path, "append")
+    return side.read_archive(s, path, ["messages"])["messages"].groupBy("folder").agg(F.count("*").alias("n"))
+
+
+query("O_SNK_07_exported_names", "select filename, count(*) as n, max(k) as last from (select *, row_number() over (partition by lower(filename) order by blob_id) - 1 as k from attachments where ext in ('pdf', 'jpg')) group by 1")(
+    lambda s, d: facets.filename_numbers(attachments(s, d).where("ext in ('pdf', 'jpg')")).groupBy("filename").agg(F.count("*").alias("n"), F.max(F.coalesce(F.expr(r"try_cast(nullif(regexp_extract(export_name, ' [(]([0-9]+)[)]', 1), '') as bigint)"), F.lit(0))).alias("last"))
+)
+
+
+@query("O_PRJ_05_date_policy", "select doc_id, case when doc_id % 4 = 0 then timestamp '1960-01-01' when doc_id % 4 = 3 then timestamp '1931-05-06 07:08:09' else date end as date, doc_id % 4 in (0, 3) as hacky_date from heads")
+def _prj05(s, d):
+    day = F.date_format("date", "EEE, dd MMM yyyy HH:mm:ss Z")
+    head = F.expr("doc_id % 4")
+    lines = F.when(head == 1, F.concat(F.lit("\nDate: "), day)).when(head == 2, F.concat(F.lit("\nDate: soon\nReceived: from a by b; "), day)).when(head == 3, F.lit("\nDate: Wed, 06 May 1931 07:08:09 +0000")).otherwise("")
+    path = shared_folder(s, "dates")
+    heads(s, d).select(F.concat(F.lit("From -\nFrom: a@b.example"), lines, F.lit("\nMessage-ID: "), F.col("doc_id").cast("string"), F.lit("\n\ntext\n"))).write.text(path)
+    return mbox.read_mbox(s, path).select(F.col("message_id").cast("long").alias("doc_id"), "date", "hacky_date")
+
+
+query("O_NER_17_owner", "select case when s_suppkey between 1 and 3 then 1 else s_suppkey end as contact_id, case when s_suppkey between 1 and 3 then 3 else 1 end as names, s_suppkey between 1 and 3 as is_owner from supplier where s_suppkey not in (2, 3)", views=False)(
+    lambda s, d: contacts.set_owner(read(s, d, "supplier").select(F.col("s_suppkey").alias("contact_id"), F.array(F.concat(F.lower("s_name"), F.lit("@supply.example"))).alias("emails"), F.array("s_name").alias("names")), [f" Supplier#00000000{i}@supply.example" for i in (1, 2, 3)]).select("contact_id", F.size("names").alias("names"), "is_owner")
+)
+query("O_AUT_01_confirmed", "select c_custkey as contact_id, case when c_custkey % 3 = 0 then -c_custkey else c_custkey end as authority_id from customer where c_custkey % 2 = 0 and c_custkey % 3 <> 1 or c_custkey % 3 = 0", views=False)(
+    lambda s, d: contacts.confirm_authorities(
+        read(s, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("contact_id"), F.col("c_custkey").alias("authority_id")),
+        read(s, d, "customer").where("c_custkey % 3 < 2").select(F.col("c_custkey").alias("contact_id"), F.expr("if(c_custkey % 3 = 0, -c_custkey, null)").alias("authority_id")),
+    )
+)
+query("O_STR_26_merge_validity", "select c_custkey, c_custkey % 6 < 4 as ok from customer", views=False)(
+    lambda s, d: read(s, d, "customer").select(
+        "c_custkey",
+        T.may_merge(
+            F.expr("case c_custkey % 6 when 0 then concat('Dr. Ann ', c_name) when 1 then concat(c_name, ', Ann') when 2 then 'World Health Organization' when 3 then concat('Sen. Ann ', c_name) when 4 then concat('Ann ', c_name, ' Lee') else 'Market' end"),
+            F.expr("case c_custkey % 6 when 0 then concat('Ann ', c_name) when 1 then concat('Ann ', c_name) when 2 then 'WHO' when 3 then concat('Senator Ann ', c_name) when 4 then 'Bob Lee' else 'market town' end"),
+            ["market"],
+        ).alias("ok"),
+    )
+)
+_STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+query("O_TXT_03_stop_words", rf"select doc_id, cast(len(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '' and x not in ({_STOPS}))) as integer) as n from documents where not contains(text, chr(39) || 's') and not contains(text, '’s')", views=False)(
+    lambda s, d: read(s, d, "documents").where("not contains(text, \"'s\") and not contains(text, '’s')").select("doc_id", F.size(fulltext.tokens(F.col("text"), stemmed=False)).alias("n"))
+)
+
+
+def _asks(term: str):
+    return lambda s, d: search({"messages": heads(s, d).withColumn("body", F.concat(F.lit("about "), F.col("folder"), F.lit(" low")))}, SearchSpec(term=term)).select("doc_id")
+
+
+query("O_TXT_05_fields", "select doc_id from heads where label = '5-LOW' or folder = 'mail/O'")(_asks("subject:low OR body:o"))
+query("O_TXT_07_wildcard", "select doc_id from heads where label in ('1-URGENT', '3-MEDIUM')")(_asks("subject:urg* OR subject:me?ium"))
+query("O_TXT_07_fuzzy", "select doc_id from heads where label = '1-URGENT'")(_asks("subject:urgant~1"))
+query("O_TXT_07_required_and_barred", "select doc_id from heads where label = '1-URGENT' and folder <> 'mail/F'")(_asks("+urgent -f order"))
+query("O_TXT_10_regex_any_case", "select doc_id, subject from heads where label in ('1-URGENT', '5-LOW')")(lambda s, d: search({"messages": heads(s, d).withColumn("body", F.lit("x"))}, SearchSpec(regex=r"\border (1|5)-[a-z]+\b")).select("doc_id", "subject"))
+query("O_TXT_11_expanded_lexicon", "with t as (select doc_id, string_split_regex(lower(text), '[^\\p{L}\\p{N}]+') as w from documents), f as (select doc_id, list_contains(w, 'idiot') or list_contains(w, 'idiots') as a, list_contains(w, 'trash') as b from t) select doc_id, 'insult' as caption from f where a union all select doc_id, 'any' from f where a or b union all select doc_id, 'None' from f where not a and not b", views=False)(
+    lambda s, d: entities.lexicon_hits(read(s, d, "documents"), {"any": "{insult}|trash", "insult": "idiot"})
+)
+query("O_TXT_16_leads_by_line", "with p(term, k) as (values ('you idiot', 1.0), ('idiot', 2.0)), t as (select doc_id, ' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g') || ' ' as w from documents) select term, count(*) as index_score, cast(k * count(*) as double) as score from p join t on contains(w, ' ' || term || ' ') group by term, k", views=False)(
+    lambda s, d: entities.leads(read(s, d, "documents"), s.createDataFrame([(0, "Idiot\nyou idiot!\n\nidiot\nof\nno such phrase here")], "doc_id long, text string"), by_line=True)
+)

@@ -326,3 +326,28 @@ def number_tokens(c: Column) -> Column:
     """Lower-cased tokens that keep numbers whole: digits with separators, signs and dashes
     inside, else runs of letters and digits."""
     return F.regexp_extract_all(F.lower(c), F.lit(r"([0-9]+(?:[.,:/-][0-9]+)+|[\p{L}\p{N}]+)"), 1)
+
+
+def untitled(c: Column) -> Column:
+    """A name without titles before it, and with `Last, First` turned round."""
+    bare = F.regexp_replace(F.trim(c), "(?i)^((" + "|".join(TITLES) + r")\b\.?\s+)+", "")
+    return F.regexp_replace(bare, r"^([^,]+), ([^,]+)$", "$2 $1")
+
+
+def may_merge(a: Column, b: Column, common: list[str] | None = None) -> Column:
+    """Two names may be one: equal without titles and with commas flipped, one the acronym
+    of the other, or all words of the shorter among those of the longer, where a word cut
+    by a dot stands for what it begins.  A shorter name of one word needs three letters
+    and must not be one of the `common` words."""
+    x, y = untitled(a), untitled(b)
+    bag = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(F.regexp_replace(w, r"\.", "")) > 1))
+    cut = lambda v, w: v.endswith(".") & w.startswith(F.substr(v, F.lit(1), F.length(v) - 1))
+    stands = lambda v, w: (v == w) | cut(v, w) | cut(w, v)
+    p, q = bag(x), bag(y)
+    short, long = F.when(F.size(p) <= F.size(q), p).otherwise(q), F.when(F.size(p) <= F.size(q), q).otherwise(p)
+    first = F.get(short, F.lit(0))
+    lone = (F.length(first) >= 3) & ~first.isin(common or [""])
+    within = (F.size(short) > 0) & F.forall(short, lambda v: F.exists(long, lambda w: stands(v, w))) & ((F.size(short) > 1) | lone)
+    several = lambda c: F.instr(c, " ") > 0
+    initials = (several(x) & ~several(y) & (acronym(x) == y)) | (several(y) & ~several(x) & (acronym(y) == x))
+    return F.coalesce((F.length(x) > 1) & (F.length(y) > 1) & ((x == y) | initials | within), a.isNull() & b.isNull())

@@ -116,3 +116,20 @@ def unique_masks(emails: DataFrame) -> DataFrame:
     masked = emails.select("email").distinct().withColumn("m", T.mask_domain(F.col("email")))
     n = F.row_number().over(Window.partitionBy("m").orderBy("email")) - 1
     return masked.withColumn("n", n).select("email", F.when(F.col("n") == 0, F.col("m")).otherwise(F.concat("m", F.lit("("), F.col("n").cast("string"), F.lit(")"))).alias("mask"))
+
+
+def set_owner(book: DataFrame, addresses: list[str]) -> DataFrame:
+    """A book (contact_id, emails, names) whose contacts with any of the owner's addresses
+    are one contact, under the smallest of their ids; `is_owner` tells it."""
+    own = F.exists("emails", lambda e: T.clean_email(e).isin([a.strip().lower() for a in addresses]))
+    mine = book.where(own)
+    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)  # noqa: E731  as many rows as the owner has contacts
+    one = mine.groupBy().agg(F.min("contact_id").alias("contact_id"), flat("emails"), flat("names")).where("contact_id is not null")
+    rest = book.where(~own).select("contact_id", "emails", "names", F.lit(False).alias("is_owner"))
+    return rest.unionByName(one.withColumn("is_owner", F.lit(True)))
+
+
+def confirm_authorities(confirmed: DataFrame, picks: DataFrame) -> DataFrame:
+    """Records of contacts (contact_id, authority_id) after some were picked anew; a pick
+    without an authority takes the contact's record away."""
+    return confirmed.join(picks.select("contact_id").distinct(), "contact_id", "left_anti").unionByName(picks.where("authority_id is not null").select("contact_id", "authority_id"))

@@ -102,14 +102,32 @@ def lexicon_hits(docs: DataFrame, entries: dict[str, str], text: str = "text") -
 def lens(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """Scores of page terms: page score x messages with the phrase x boost, best first.
 
-    `terms` has term, page_score, boost; short terms and punctuation are dropped.
+    `terms` has term, page_score, boost; short terms and punctuation are dropped.  A term
+    of several words is met by its longest word, then looked for as a phrase.
     """
-    t = terms.select(F.trim(F.regexp_replace(F.lower("term"), r"[^\p{L}\p{N} ]", "")).alias("term"), "page_score", "boost").where(F.length("term") > 2)
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("term"))
-    hits = words.join(t.select("term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("index_score"))
+    t = terms.select(F.trim(F.regexp_replace(F.regexp_replace(F.lower("term"), r"[^\p{L}\p{N} ]", ""), r" +", " ")).alias("term"), "page_score", "boost").where(F.length("term") > 2)
+    key = F.array_max(F.transform(F.split("term", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = t.select("term", key.alias("w")).distinct()
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("w"))
+    met = words.join(keyed, "w").select("doc_id", "term")
+    several = F.instr("term", " ") > 0
+    plain = docs.select("doc_id", F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" ")).alias("_t"))
+    phrases = met.where(several).join(plain, "doc_id").where(F.contains("_t", F.concat(F.lit(" "), F.col("term"), F.lit(" ")))).select("doc_id", "term")
+    hits = met.where(~several).unionByName(phrases).groupBy("term").agg(F.countDistinct("doc_id").alias("index_score"))
     return t.join(hits, "term", "left").select("term", F.coalesce("index_score", F.lit(0)).alias("index_score"), (F.col("page_score") * F.coalesce("index_score", F.lit(0)) * F.col("boost")).alias("score")).orderBy(F.desc("score"), "term")
 
 
+def leads(docs: DataFrame, asked: DataFrame, by_line: bool = False, text: str = "text") -> DataFrame:
+    """Names (or lines) of a free text (doc_id, text) by how many messages hold them: a
+    name's page score is how often the text has it."""
+    if by_line:
+        rows = asked.select(F.explode(F.split("text", r"\r?\n")).alias("text"))
+    else:
+        rows = mentions(asked).select("text")
+    terms = rows.select(F.lower(F.trim("text")).alias("term")).where("term != ''").groupBy("term").agg(F.count("*").cast("double").alias("page_score")).withColumn("boost", F.lit(1.0))
+    return lens(docs, terms, text).where("index_score > 0")
+
+
 def across_archives(entities: DataFrame, query: str) -> DataFrame:
     """Entities of many archives (archive_id, display, ...) that hold the query: token
     join first, then the phrase."""
