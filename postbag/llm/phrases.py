@@ -118,7 +118,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
         s -> s.hi - s.lo >= least({window}, s.m))))"""
     # rows: a document, its words only once, hits as spans
     joined = docs.join(listed, "doc_id", "left").select("doc_id", split_words().alias("raw"), "found")
-    lowered = joined.select("doc_id", F.size("raw").cast("long").alias("n_words"), "found", F.when(F.col("found").isNotNull(), F.transform("raw", lower_az)).alias("w"))
+    # through a generator, so that the words are lower-cased once a document and not anew for each item word looked up
+    lowered = joined.select("doc_id", F.size("raw").cast("long").alias("n_words"), "found", F.explode(F.array(F.when(F.col("found").isNotNull(), F.transform("raw", lower_az)))).alias("w"))
     spanned = lowered.select("doc_id", "n_words", F.when(F.col("found").isNotNull(), F.expr(f"transform(array({runs}), r -> {spans})[0]")).alias("s"))
     hits = F.when(F.col("s").isNull(), F.lit(0)).otherwise(F.expr("size(array_distinct(flatten(transform(s, x -> sequence(x.lo, x.hi - 1)))))")).cast("long")
     names = F.coalesce(F.expr("array_sort(array_distinct(flatten(transform(s, x -> x.names))))"), F.expr("cast(array() as array<string>)"))
