@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postbag.llm import chat, langmix, neardup, packing, phrases, qda, rangecoder, rules, separators, toxicity
+from postbag.llm import chat, langmix, neardup, packing, phrases, qda, rangecoder, rules, separators, structure_queries, toxicity
 from postbag.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -66,6 +66,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_ids, op3_packing, op4_token_counts, op5_toxicity, op6_language, op7_near_duplicates, op8_quality, op9_decontamination, op10_chat_formatting)}
+QUERIES |= structure_queries.QUERIES
 
 _WS = r"[\x20\x09-\x0D]+"
 
@@ -148,4 +149,4 @@ select conv_id, cast(count(*) as bigint) as n_turns,
 from e group by conv_id
 """
 
-ORACLE_SQL = {"op1_quality_rules": _OP1, "op7_near_duplicates": _OP7, "op9_decontamination": _OP9, "op10_chat_formatting": _OP10}
+ORACLE_SQL = {"op1_quality_rules": _OP1, "op7_near_duplicates": _OP7, "op9_decontamination": _OP9, "op10_chat_formatting": _OP10} | structure_queries.ORACLE_SQL
