@@ -406,3 +406,4 @@ def _prj06(spark, sf):
 
 from postbag import catalog_more as _more  # noqa: E402, F401  registers its queries here
 from postbag import catalog_files as _files  # noqa: E402, F401  and here
+from postbag import catalog_names as _names  # noqa: E402, F401  and here

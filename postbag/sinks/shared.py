@@ -25,6 +25,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, read back: lineage ends here."""
+    path = shared_folder(df.sparkSession, f"postbag-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_files(rows: DataFrame, folder: str) -> None:
     """One file per (name, content) row under a mounted folder that all executors share.
 
