@@ -143,16 +143,18 @@ def drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
     cuts = _batches(docs, batches)
     # batch 0 holds the largest ids; rows without an id come last
     batch = F.coalesce(sum((F.col("doc_id") < c).cast("int") for c in cuts), F.lit(len(cuts))) if cuts else F.lit(0)
-    often = found.join(frequent(found, min_docs), ["h1", "h2"], "left_semi").select("doc_id", "row", "h1", "h2", "place", batch.alias("batch"))
+    # written, so that the join's sides are plain shuffles, whose hot keys Spark splits
+    keys = common.written(frequent(found, min_docs), "keys")
+    often = found.join(keys, ["h1", "h2"], "left_semi").select("doc_id", "row", "h1", "h2", "place", batch.alias("batch"))
     often = common.written(often, "frequent")
     runs = Runs(spark, fan)
     for k in range(len(cuts) + 1):
         own = often.where(F.col("batch") == k).groupBy("h1", "h2").agg(F.max("doc_id").alias("top"))
         runs.add(own)
-    lost = often.join(runs.merged(), ["h1", "h2"]).where("top is not null and (doc_id is null or doc_id < top)")
-    out = common.written(lost.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("place")).alias("places")), "drops")
+    keepers = common.written(runs.merged(), "keepers")
+    lost = often.join(keepers, ["h1", "h2"]).where("top is not null and (doc_id is null or doc_id < top)")
     runs.drop()
-    return out
+    return common.written(lost.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("place")).alias("places")), "drops")
 
 
 def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fan: int = FAN) -> DataFrame:
