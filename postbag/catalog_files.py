@@ -416,8 +416,8 @@ query("O_STR_26_merge_validity", "select c_custkey, c_custkey % 6 < 4 as ok from
     )
 )
 _STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-query("O_TXT_03_stop_words", rf"select doc_id, cast(len(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '' and x not in ({_STOPS}))) as integer) as n from documents where not contains(text, chr(39) || 's') and not contains(text, '’s')", views=False)(
-    lambda s, d: read(s, d, "documents").where("not contains(text, \"'s\") and not contains(text, '’s')").select("doc_id", F.size(fulltext.tokens(F.col("text"), stemmed=False)).alias("n"))
+query("O_TXT_03_stop_words", rf"select doc_id, cast(len(list_filter(string_split_regex(lower(regexp_replace(text, '([''’])s([^\p{{L}}\p{{N}}_]|$)', '\1\2', 'g')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '' and x not in ({_STOPS}))) as integer) as n from documents", views=False)(
+    lambda s, d: read(s, d, "documents").select("doc_id", F.size(F.filter(fulltext.tokens(F.col("text"), stemmed=False), lambda w: w != "")).alias("n"))
 )
 
 
@@ -426,6 +426,15 @@ def _asks(term: str):
 
 
 query("O_TXT_05_fields", "select doc_id from heads where label = '5-LOW' or folder = 'mail/O'")(_asks("subject:low OR body:o"))
+query("O_TXT_02_porter", "select doc_id from heads where label in ('2-HIGH', '4-NOT SPECIFIED')")(
+    lambda s, d: search({"messages": heads(s, d).withColumn("body", F.expr("case label when '2-HIGH' then 'we were running late' when '1-URGENT' then 'a rune' when '4-NOT SPECIFIED' then 'he runs' else 'generalizations' end"))}, SearchSpec(term="run OR relational")).select("doc_id")
+)
+query("O_FLT_02_anchors", "select doc_id from heads where label in ('1-URGENT', '3-MEDIUM')")(
+    lambda s, d: search({"messages": heads(s, d).withColumn("body", F.expr("case label when '1-URGENT' then 'foo first' when '2-HIGH' then 'last foo' when '3-MEDIUM' then 'Foo, then order' else 'none' end"))}, SearchSpec(regex=r"^foo|order$|x*")).select("doc_id")
+)
+query("O_TXT_10_regex_counts", "select doc_id from heads where label in ('1-URGENT', '3-MEDIUM')")(
+    lambda s, d: search({"messages": heads(s, d).withColumn("body", F.expr("case label when '1-URGENT' then 'order and ORDER' when '2-HIGH' then 'order' when '3-MEDIUM' then 'orders, ordered' else 'border' end"))}, SearchSpec(regex=r"\border|q*", least_count=3)).select("doc_id")
+)
 query("O_TXT_07_wildcard", "select doc_id from heads where label in ('1-URGENT', '3-MEDIUM')")(_asks("subject:urg* OR subject:me?ium"))
 query("O_TXT_07_fuzzy", "select doc_id from heads where label = '1-URGENT'")(_asks("subject:urgant~1"))
 query("O_TXT_07_required_and_barred", "select doc_id from heads where label = '1-URGENT' and folder <> 'mail/F'")(_asks("+urgent -f order"))

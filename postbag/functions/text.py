@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -328,6 +330,11 @@ def number_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([0-9]+(?:[.,:/-][0-9]+)+|[\p{L}\p{N}]+)"), 1)
 
 
+def number_words(text: str) -> list[str]:
+    """What `number_tokens` gives for one text."""
+    return re.findall(r"[0-9]+(?:[.,:/-][0-9]+)+|[^\W_]+", text.lower())
+
+
 def untitled(c: Column) -> Column:
     """A name without titles before it, and with `Last, First` turned round."""
     bare = F.regexp_replace(F.trim(c), "(?i)^((" + "|".join(TITLES) + r")\b\.?\s+)+", "")

@@ -92,8 +92,8 @@ def expand_lexicon(entries: dict[str, str]) -> dict[str, str]:
 
 def lexicon_hits(docs: DataFrame, entries: dict[str, str], text: str = "text") -> DataFrame:
     """(doc_id, caption) of each category that a text matches, `None` where no one does."""
-    toks = docs.select("doc_id", fulltext.tokens(F.col(text)).alias("t"))
     full = expand_lexicon(entries)
+    toks = docs.select("doc_id", fulltext.tokens(F.col(text), words=fulltext.query_words(" ".join(full.values()))).alias("t"))
     flags = [F.when(fulltext.compile_query(q.replace("|", " OR "), {"t": F.col("t")}, ("t",)), c) for c, q in full.items()]
     got = toks.select("doc_id", F.array_compact(F.array(*flags)).alias("c"))
     return got.select("doc_id", F.explode(F.when(F.size("c") > 0, F.col("c")).otherwise(F.array(F.lit("None")))).alias("caption"))

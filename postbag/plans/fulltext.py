@@ -2,7 +2,7 @@
 
 Terms, "phrases", AND / OR / NOT (also + and -), field:term, wildcards (* and ?),
 fuzzy terms (word~1), and parentheses; the default operator is OR.  Text is analysed
-once into a token array (lower-cased words, possessives and stop words removed,
+once into a token array (lower-cased words without possessives, stop words as gaps,
 stemmed); a query becomes array predicates on it.
 """
 
@@ -14,41 +14,52 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postbag.functions.porter import stem, stem_word
 from postbag.functions.text import STOP_WORDS
 
 #: Fields that stand behind the names of a query.
 FIELD_SETS = {"full": ("body", "subject"), "original": ("body_original", "subject"), "subject": ("subject",), "attachments": ("attachment_text",)}
 
-# Endings removed by the light stemmer, longest first.
-_ENDINGS = ["ational", "ization", "fulness", "ousness", "iveness", "tional", "ingly", "ement", "ments", "ings", "edly", "ment", "ness", "ies", "ing", "ed", "es", "ly", "s"]
+def tokens(text: Column, stemmed: bool = True, words: list[str] | None = None) -> Column:
+    """Analysed tokens in order: lower-cased words without possessives, stemmed; a stop word leaves an empty one.
 
+    With a query's `words`, only tokens that could meet one of them are stemmed: a stem and its
+    word differ in the stem's last two letters at most.
+    """
+    raw = F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"['’]s\b", "")), r"[^\p{L}\p{N}]+")
+    kept = F.transform(F.filter(raw, lambda w: w != ""), lambda w: F.when(w.isin(STOP_WORDS), "").otherwise(w))
+    if not stemmed or words == []:
+        return kept
+    if words is None:
+        return F.transform(kept, stem)
+    begin = sorted({s[: max(1, len(s) - 2)] for s in map(stem_word, words)})
 
-def stem(word: Column) -> Column:
-    """Light stemming: the first ending that leaves three letters or more is cut."""
-    out = F.when(F.lit(False), word)
-    for e in _ENDINGS:
-        cut = F.substr(word, F.lit(1), F.length(word) - len(e))
-        out = out.when(word.endswith(e) & (F.length(word) >= len(e) + 3), F.concat(cut, F.lit("y" if e == "ies" else "")))
-    return out.otherwise(word)
-
-
-def stem_word(word: str) -> str:
-    for e in _ENDINGS:
-        if word.endswith(e) and len(word) >= len(e) + 3:
-            return word[: -len(e)] + ("y" if e == "ies" else "")
-    return word
-
+    def short(w: Column) -> Column:
+        out = F.when(w == "", w)
+        for x in words:
+            out = out.when(w == x, stem_word(x))
+        return out.when(w.rlike("^(" + "|".join(begin) + ")"), stem(w)).otherwise(w)
 
-def tokens(text: Column, stemmed: bool = True) -> Column:
-    """Analysed tokens in order; stop words leave no gap."""
-    raw = F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"['’]s\b", "")), r"[^\p{L}\p{N}]+")
-    kept = F.filter(raw, lambda w: (w != "") & ~w.isin(STOP_WORDS))
-    return F.transform(kept, stem) if stemmed else kept
+    return F.transform(kept, short)
 
 
 def analyse(text: str) -> list[str]:
+    """Analysed terms of a query; stop words inside leave a gap (an empty term), at the ends they go."""
     raw = re.split(r"[\W_]+", re.sub(r"['’]s\b", "", text).lower())
-    return [stem_word(w) for w in raw if w and w not in STOP_WORDS]
+    out = ["" if w in STOP_WORDS else stem_word(w) for w in raw if w]
+    while out and not out[0]:
+        out.pop(0)
+    while out and not out[-1]:
+        out.pop()
+    return out
+
+
+def query_words(query: str) -> list[str] | None:
+    """A query's words, for `tokens`; None where wildcards or fuzzy terms ask for all tokens."""
+    if re.search(r"[*?~]", query):
+        return None
+    raw = re.split(r"[\W_]+", re.sub(r"['’]s\b", "", query).lower())
+    return sorted({w for w in raw if w and w not in STOP_WORDS})
 
 
 @dataclass
@@ -57,6 +68,7 @@ class Node:
     value: object = None
     name: str | None = None
     parts: list[Node] = field(default_factory=list)
+    text: str | None = None
 
 
 _LEX = re.compile(r'\s*(?:(\()|(\))|(AND|&&)(?=\s)|(OR|\|\||\|)(?=\s)|(NOT|!)(?=\s)|([+-])(?=\S)|(?:(\w+):)?"([^"]*)"|(?:(\w+):)?([^\s()"]+))')
@@ -90,7 +102,7 @@ def parse(query: str) -> Node:
             inner = unit()
             return Node("not", parts=[inner]) if g[5] == "-" else Node("must", parts=[inner])
         if g[7] is not None:
-            return Node("phrase", analyse(g[7]), g[6])
+            return Node("phrase", analyse(g[7]), g[6], text=g[7])
         word = g[9]
         if word is None:
             raise ValueError("operator without operand")
@@ -98,7 +110,7 @@ def parse(query: str) -> Node:
             return Node("wild", word.lower(), g[8])
         if m := re.fullmatch(r"(\w+)~(\d?)", word):
             return Node("fuzzy", (m[1].lower(), int(m[2] or 2)), g[8])
-        return Node("phrase", analyse(word), g[8])
+        return Node("phrase", analyse(word), g[8], text=word)
 
     def both() -> list[Node]:
         nonlocal pos
@@ -134,17 +146,24 @@ def parse(query: str) -> Node:
 
 
 def _phrase(cols: Column, want: list[str]) -> Column:
+    """Whether the terms stand one after the other; an empty term stands for any token."""
     if not want:
         return F.lit(False)
     if len(want) == 1:
         return F.array_contains(cols, want[0])
-    lit = F.array(*map(F.lit, want))
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(cols), F.lit(1))), lambda i: F.slice(cols, i, len(want)) == lit)
-    return F.array_contains(cols, want[0]) & (F.size(places) > 0)
+    at = lambda i: [F.get(cols, i + k) == t for k, t in enumerate(want) if t]
+
+    def met(i: Column) -> Column:
+        out = F.lit(True)
+        for c in at(i):
+            out = out & F.coalesce(c, F.lit(False))
+        return out
+
+    return F.array_contains(cols, want[0]) & F.exists(F.sequence(F.lit(0), F.greatest(F.size(cols) - 1, F.lit(0))), met)
 
 
 def _some(tokens_: Column, test) -> Column:
-    return F.exists(tokens_, lambda w: test(w))
+    return F.exists(tokens_, lambda w: (w != "") & test(w))
 
 
 def matches(tree: Node, fields: dict[str, Column], default: tuple[str, ...]) -> Column:
@@ -185,14 +204,14 @@ def compile_query(query: str, fields: dict[str, Column], default: tuple[str, ...
 def occurrences(col: Column, term: str) -> Column:
     """How often an analysed term stands in a token array."""
     want = analyse(term)
-    return F.size(F.filter(col, lambda w: w == (want[0] if want else ""))).cast("long")
+    return F.size(F.filter(col, lambda w: w == want[0])).cast("long") if want else F.lit(0).cast("long")
 
 
 def at_least(cols: list[Column], query: str, k: int) -> Column:
     """The terms of a query stand `k` times or more in the fields together."""
     total = F.lit(0)
     for c in cols:
-        for term in dict.fromkeys(analyse(query)):
+        for term in dict.fromkeys(filter(None, analyse(query))):
             total = total + F.size(F.filter(c, F.lit(term).eqNullSafe))
     return total >= k
 

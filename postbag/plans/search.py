@@ -106,6 +106,23 @@ def attachment_match(a: Column, spec: SearchSpec) -> Column | None:
     return out
 
 
+def regex_found(messages: DataFrame, pattern: str, case_sensitive: bool = False, least: int = 1) -> Column:
+    """Whether subject and body, each searched for itself, hold `least` matches together; empty matches do not count."""
+    jvm = messages.sparkSession.sparkContext._jvm
+    try:
+        jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception as e:  # the JVM's own error
+        raise ValueError(f"not a regular expression: {pattern!r}") from e
+    full = F.lit(pattern if case_sensitive else f"(?i){pattern}")
+    total = F.lit(0)
+    for name in ("subject", "body"):
+        if name in messages.columns:
+            text = F.coalesce(name, F.lit(""))
+            # most texts have no match, which the search for a first one shows
+            total = total + F.when(F.regexp_like(text, full), F.size(F.filter(F.regexp_extract_all(text, full, F.lit(0)), lambda x: x != ""))).otherwise(0)
+    return total >= max(1, least)
+
+
 def _side(tables: dict[str, DataFrame], name: str) -> DataFrame:
     if name not in tables:
         raise KeyError(f"this search needs the table {name}")
@@ -122,19 +139,19 @@ def search(tables: dict[str, DataFrame], spec: SearchSpec) -> DataFrame:
         if not names and not spec.in_attachments:
             names = ("body", "subject")
         if names:
-            cols = {n: fulltext.tokens(F.col(n)) for n in names if n in m.columns}
+            words = fulltext.query_words(spec.term)
+            cols = {n: fulltext.tokens(F.col(n), words=words) for n in names if n in m.columns}
             hits = fulltext.compile_query(spec.term, cols, tuple(cols))
             if spec.least_count > 1:
                 hits = hits & fulltext.at_least(list(cols.values()), spec.term, spec.least_count)
         if spec.in_attachments:
             blobs = _side(tables, "attachment_text")
-            found = blobs.where(fulltext.compile_query(spec.term, {"attachment_text": fulltext.tokens(F.col("body"))}, ("attachment_text",))).select("doc_id").distinct().withColumn("_in_blob", F.lit(True))
+            found = blobs.where(fulltext.compile_query(spec.term, {"attachment_text": fulltext.tokens(F.col("body"), words=fulltext.query_words(spec.term))}, ("attachment_text",))).select("doc_id").distinct().withColumn("_in_blob", F.lit(True))
             m = m.join(found, "doc_id", "left")
             hits = hits | F.coalesce("_in_blob", F.lit(False))
         keep.append(hits)
     if spec.regex:
-        flag = "" if spec.case_sensitive else "(?i)"
-        keep.append(F.concat_ws("\n", "subject", "body").rlike(flag + spec.regex))
+        keep.append(regex_found(m, spec.regex, spec.case_sensitive, spec.least_count))
     if spec.sender_is:
         keep.append(F.get(F.transform("from", lambda a: T.clean_email(a["email"])), F.lit(0)) == spec.sender_is.lower())
     if spec.correspondent or spec.correspondent_list:
@@ -169,10 +186,11 @@ def search(tables: dict[str, DataFrame], spec: SearchSpec) -> DataFrame:
         entry = spec.lexicon.where((F.col("name") == spec.lexicon_name) & (F.col("caption") == spec.lexicon_caption)).select("expanded").first()
         query = entry.expanded if entry else ""
         if spec.lexicon_name == "regex" and query:
-            keep.append(F.concat_ws("\n", "subject", "body").rlike("(?i)" + query))
+            keep.append(regex_found(m, query))
         elif query:
-            cols = {n: fulltext.tokens(F.col(n)) for n in ("body", "subject") if n in m.columns}
-            keep.append(fulltext.compile_query(query.replace("|", " OR "), cols, tuple(cols)))
+            query = query.replace("|", " OR ")
+            cols = {n: fulltext.tokens(F.col(n), words=fulltext.query_words(query)) for n in ("body", "subject") if n in m.columns}
+            keep.append(fulltext.compile_query(query, cols, tuple(cols)))
         else:
             keep.append(F.lit(False))
     rule = attachment_match(F.col("attachments")[0], spec) is not None
