@@ -9,8 +9,9 @@ A layer of the dynamic program is a turn; its macro edits are a run of inserts a
 the turn's own edit.  Their codes (D, ID, IID, IIK, ..., R) are free of prefixes, so two
 edit lists compare as their macros do, one by one.  So a state needs no list: it keeps its
 cost, its rank among the layer's lists, its parent and its macro; (parent's rank, code)
-gives the next layer's ranks.  Lists are rebuilt from the parent pointers at the end.  At
-most two inserts stand in a row: more lead to no new state.
+gives the next layer's ranks.  Lists are rebuilt from the parent pointers at the end.  A
+layer is its states' ranks and their costs above the least; there are few such layers, so
+each step from one to the next is worked out once and kept.
 
 `plan` streams a conversation's turns through one task in order, with a byte a turn and
 state in memory and no texts; a conversation is one unit of that work, however long.
@@ -37,8 +38,9 @@ from postbag.llm import common
 SPACE = " \t\n\x0b\x0c\r"
 #: Costs of edits, and of keeping a turn that is cut off.
 REROLE, DELETE, INSERT, CUT_OFF = 3, 4, 3, 3
-#: Inserts in a row, at most.
-RUN = 2
+#: Inserts before a turn, at most.  Two of them lead from a state to itself, or to one that the
+#: state without them is as good as; only after a lone system turn two end a conversation.
+RUN, LAST_RUN = 1, 2
 #: Macro edits in ASCII order; their place is their code.
 CODES = sorted("I" * r + e for r in range(RUN + 1) for e in "KRD")
 #: States: nothing yet, a system turn, a user turn, an assistant turn last.
@@ -68,31 +70,54 @@ def _moves(initial: str, fault: str) -> list[tuple[int, int, int, int]]:
 _MOVES = {(i, f): _moves(i, f) for i in ("s", "u", "a", "") for f in ("", "blank", "duplicate", "truncated")}
 
 
+#: Whatever may follow a state can follow any other for this much more (a kept system turn is
+#: deleted, 4, a turn inserted at both ends, 6), so states farther above the least are left out.
+MARGIN = 10
+#: A layer: (cost above the layer's least, rank) of each state, None where it is not reached.
+Layer = tuple[tuple[int, int] | None, ...]
+_STEPS: dict[tuple[Layer, str, str], tuple[Layer, int, tuple[int, int, int, int]]] = {}
+_FIRST: Layer = ((0, 0), None, None, None)
+
+
+def _step(layer: Layer, initial: str, fault: str) -> tuple[Layer, int, tuple[int, int, int, int]]:
+    """The next layer, what the least cost grows by, and a pointer (parent and code) of each state."""
+    best: dict[int, tuple[int, int, int, int]] = {}
+    for state, code, to, cost in _MOVES[initial, fault]:
+        if layer[state] is not None:
+            found = (layer[state][0] + cost, layer[state][1], code, state)
+            if to not in best or found < best[to]:
+                best[to] = found
+    least = min(b[0] for b in best.values())
+    best = {s: b for s, b in best.items() if b[0] <= least + MARGIN}
+    order = sorted(best, key=lambda s: best[s][1:])
+    after = tuple((best[s][0] - least, order.index(s)) if s in best else None for s in range(4))
+    return after, least, tuple(best[s][3] * len(CODES) + best[s][2] if s in best else 255 for s in range(4))
+
+
 class Repair:
-    """Takes one conversation's turns in order; `edits` gives the cheapest edit list."""
+    """Takes one conversation's turns in order; `close` and `path` give the cheapest edit list."""
 
     def __init__(self):
-        self.cost, self.rank = {EMPTY: 0}, {EMPTY: 0}
+        self.layer, self.least, self.count = _FIRST, 0, 0
         self.back = [bytearray() for _ in range(4)]
-        self.count = 0
 
     def add(self, initial: str, fault: str) -> None:
-        best: dict[int, tuple[int, int, int, int]] = {}
-        for state, code, to, cost in _MOVES[initial if initial in ("s", "u", "a") else "", fault]:
-            if state in self.cost:
-                found = (self.cost[state] + cost, self.rank[state], code, state)
-                if to not in best or found < best[to]:
-                    best[to] = found
-        order = sorted(best, key=lambda s: best[s][1:])
-        self.cost = {s: best[s][0] for s in best}
-        self.rank = {s: k for k, s in enumerate(order)}
-        for s in range(4):
-            self.back[s].append(best[s][3] * len(CODES) + best[s][2] if s in best else 255)
+        key = (self.layer, initial if initial in ("s", "u", "a") else "", fault)
+        if (found := _STEPS.get(key)) is None:
+            found = _STEPS[key] = _step(*key)
+        self.layer, more, back = found
+        self.least += more
+        for column, pointer in zip(self.back, back, strict=True):
+            column.append(pointer)
         self.count += 1
 
+    def costs(self) -> dict[int, int]:
+        """The cost of each state that is reached."""
+        return {s: self.least + x[0] for s, x in enumerate(self.layer) if x is not None}
+
     def close(self) -> tuple[int, int, int]:
         """(cost, state before the last inserts, number of last inserts)."""
-        ends = [(self.cost[s] + INSERT * r, self.rank[s], r, s) for s, r in ((EMPTY, 0), (ASSISTANT, 0), (USER, 1), (SYSTEM, 2)) if s in self.cost]
+        ends = [(self.least + x[0] + INSERT * r, x[1], r, s) for s, r in ((EMPTY, 0), (ASSISTANT, 0), (USER, 1), (SYSTEM, LAST_RUN)) if (x := self.layer[s]) is not None]
         cost, _, r, s = min(ends)
         return cost, s, r
 

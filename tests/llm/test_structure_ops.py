@@ -185,12 +185,23 @@ def test_long_conversation(spark):
     ranked = turns.Repair()
     for r, _, f in faults:
         ranked.add(r[:1], f)
-    assert ranked.cost == {s: c for s, (c, _) in state.items()}
-    for s, (_, audit) in state.items():
+    least = min(c for c, _ in state.values())
+    assert ranked.costs() == {s: c for s, (c, _) in state.items() if c <= least + turns.MARGIN}
+    for s in ranked.costs():
+        audit = state[s][1]
         assert "".join(turns.CODES[c] for c in ranked.path(s)[0]) == audit
     assert len(got) == 1 and len(re.findall("[KRD]", got[0].audit)) == len(rows)
 
 
+def test_layers_are_few():
+    rng = random.Random(3)
+    for _ in range(30):
+        r = turns.Repair()
+        for _ in range(300):
+            r.add(rng.choice(["s", "u", "a", "x"]), rng.choice(["", "", "blank", "duplicate", "truncated"]))
+    assert len({k[0] for k in turns._STEPS}) < 400
+
+
 def test_codes_are_free_of_prefixes():
     assert sorted(turns.CODES) == turns.CODES
     assert not [1 for a in turns.CODES for b in turns.CODES if a != b and b.startswith(a)]
