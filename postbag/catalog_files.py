@@ -84,6 +84,9 @@ def _src08(s, d):
 
 
 query("O_SRC_04_resume", "select email_source, folder, max(doc_id) as last_uid from heads group by 1, 2")(lambda s, d: mbox.last_seen(heads(s, d), ["email_source", "folder"], "doc_id"))
+query("O_SRC_04_unseen", ", l as (select email_source, folder, max(doc_id) as m from heads where doc_id < 700 and folder <> 'mail/P' group by 1, 2) select doc_id from heads left join l using (email_source, folder) where m is null or doc_id > m")(
+    lambda s, d: mbox.unseen(heads(s, d), mbox.last_seen(heads(s, d).where("doc_id < 700 and folder != 'mail/P'"), ["email_source", "folder"], "doc_id"), ["email_source", "folder"], "doc_id").select("doc_id")
+)
 query("O_SNK_03_duplicates_again", "select folder, count(*) as n from (select folder from heads union all select 'copies' from heads where doc_id % 7 = 0) group by 1")(
     lambda s, d: export.with_duplicates(heads(s, d), heads(s, d).where("doc_id % 7 = 0").select(F.col("doc_id").alias("kept_doc_id"), F.lit("copies").alias("folder"))).groupBy("folder").agg(F.count("*").alias("n"))
 )

@@ -50,7 +50,8 @@ def summaries(docs: DataFrame, messages: DataFrame) -> DataFrame:
 
 def ranked(summary: DataFrame) -> DataFrame:
     """Order of the correspondents page: by messages in, then by messages out."""
-    return numbered(summary, [(-F.col("sent")).alias("s"), (-(F.col("received") + F.col("received_from_owner"))).alias("r")], ["contact_id"], "place")
+    keyed = summary.withColumns({"_s": -F.col("sent"), "_r": -(F.col("received") + F.col("received_from_owner"))})
+    return numbered(keyed, ["_s", "_r", "contact_id"], "place").drop("_s", "_r")
 
 
 def participants(docs: DataFrame, owner_id) -> DataFrame:

@@ -40,12 +40,12 @@ def merge(one: DataFrame, other: DataFrame, key: str = "uid") -> DataFrame:
 def threads(messages: DataFrame, correspondents: DataFrame) -> DataFrame:
     """thread_id: rank, by first message, of (bare subject, sorted correspondents).
 
-    The rank is over keys, not messages: keys are numbered by day after a group-by.
+    The rank is over keys, not messages.
     """
     who = correspondents.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("email")), ",").alias("who"))
     keyed = messages.join(who, "doc_id", "left").withColumn("k", F.sha2(F.concat_ws("\x01", F.lower(T.bare_subject(F.coalesce("subject", F.lit("")))), F.coalesce("who", F.lit(""))), 256))
     firsts = keyed.groupBy("k").agg(F.min(F.struct("date", "doc_id")).alias("f"))
-    ids = numbered(firsts.select("k", "f.date", "f.doc_id"), [F.to_date("date").alias("d")], ["date", "doc_id"], "thread_id").select("k", "thread_id")
+    ids = numbered(firsts.select("k", "f.date", "f.doc_id"), ["date", "doc_id", "k"], "thread_id").select("k", "thread_id")
     return keyed.join(ids, "k").select("doc_id", "thread_id")
 
 

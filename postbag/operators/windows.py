@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postbag.functions import dates
+from postbag.sinks.shared import written
 
 
 def per_interval(messages: DataFrame, grain: str = "month") -> DataFrame:
@@ -56,11 +57,14 @@ def least_frequency(n: Column, percent: float) -> Column:
     return F.greatest(F.lit(2), F.least(F.lit(5), F.floor(n * percent / 100))).cast("int")
 
 
-def numbered(df: DataFrame, bucket: list[Column], inside: list[str], name: str) -> DataFrame:
-    """Ranks from 1 in order of `bucket`, then of `inside`, without one task for all rows:
-    rows are ranked within each bucket value, and only buckets are summed up in one task."""
-    keyed = df.withColumn("_b", F.struct(*bucket))
-    sizes = keyed.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_b").orderBy(*inside))
-    return keyed.withColumn("_i", own).join(before, "_b").withColumn(name, (F.col("_before") + F.col("_i")).cast("long")).drop("_b", "_i", "_before")
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Ranks from 1 in the order of columns that tell all rows apart, without one task or one bucket for many rows.
+
+    Rows are dealt by ranges of the whole order and written sorted; a rank is the place in
+    the file and the rows of the files before.  Only a row a file is summed up in one task.
+    """
+    cut = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(cut.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_low"))
+    before = sizes.select("_part", (F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("_low")).alias("_before"))
+    return placed.join(before, "_part").withColumn(name, (F.col("_before") + F.col("_at") + 1).cast("long")).drop("_part", "_at", "_before")

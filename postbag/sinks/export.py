@@ -75,13 +75,15 @@ def _with_parts(messages: DataFrame) -> DataFrame:
 
 
 def write_mbox(messages: DataFrame, path: str, labels: bool = True) -> None:
-    """A folder of mailbox text per mail folder, messages in order of date.
+    """A folder of mailbox text per mail folder: numbered files, each a range of dates, in order of date.
 
-    HTML and attachments are written as they are: a redacted copy must have them
+    A mail folder is cut by date, and messages of one moment by their text, so a large one is
+    the work of many tasks.  HTML and attachments are written as they are: a redacted copy must have them
     redacted or taken out before.
     """
     out = _with_parts(messages).select("folder", "date", mbox_text(labels).alias("text"))
-    out.repartition("folder").sortWithinPartitions("folder", "date").select("folder", "text").write.mode("overwrite").partitionBy("folder").text(path)
+    cut = out.withColumn("_h", F.xxhash64("text")).repartitionByRange("folder", "date", "_h")
+    cut.sortWithinPartitions("folder", "date", "_h").select("folder", "text").write.mode("overwrite").partitionBy("folder").text(path)
 
 
 def with_duplicates(messages: DataFrame, duplicates: DataFrame) -> DataFrame:

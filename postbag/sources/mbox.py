@@ -9,6 +9,7 @@ import email.policy
 import email.utils
 import hashlib
 import re
+import urllib.parse
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -101,32 +102,51 @@ def parse_message(raw: bytes, folder: str) -> dict:
     }
 
 
-def split_mailbox(data: bytes) -> Iterator[bytes]:
-    """Messages of an mbox file; `>From ` lines are unquoted."""
-    for part in re.split(rb"(?m)^From [^\n]*\n", data):
-        if part.strip():
-            yield re.sub(rb"(?m)^>(>*From )", rb"\1", part)
+#: What separates two messages of a mailbox: a line that begins so.
+SEPARATOR = "\nFrom "
+
+
+def message_of(record: bytes) -> bytes:
+    """The message of a record between two separators; `>From ` lines are unquoted.
+
+    A record begins with the rest of its separator line, a file's first one with the whole
+    line.  What stands before a file's first separator is a message if it begins with a
+    header.  Blank lines at the end belong to the separator.
+    """
+    line, _, rest = record.partition(b"\n")
+    whole = record if re.match(rb"[A-Za-z][A-Za-z0-9-]*:", line) and not line.startswith(b"From ") else rest
+    return re.sub(rb"(?m)^>(>*From )", rb"\1", whole.rstrip(b"\n") + b"\n") if whole.strip() else b""
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """(folder, record) of all mailbox files under `path`.
+
+    Files are cut at byte ranges, and a record goes to the range that it begins in, so one
+    mailbox is the work of many tasks and no row holds a file.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", SEPARATOR).text(path)
+    return lines.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("folder"), F.col("value").cast("binary").alias("record"))
 
 
 def read_mbox(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of all mailbox files under `path` (one file is one task's work)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    """Messages of all mailbox files under `path`."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for name, data in zip(f["path"], f["content"], strict=True):
-                folder = name.rpartition("/")[2]
-                rows, held = [], 0
-                for m in split_mailbox(bytes(data)):
-                    rows.append(parse_message(m, folder))
-                    held += len(m)
-                    if len(rows) == 500 or held > BATCH_BYTES:
-                        yield pd.DataFrame(rows)
-                        rows, held = [], 0
-                if rows:
+            rows, held = [], 0
+            for folder, record in zip(f["folder"], f["record"], strict=True):
+                raw = message_of(bytes(record))
+                if not raw:
+                    continue
+                rows.append(parse_message(raw, urllib.parse.unquote(folder)))
+                held += len(raw)
+                if len(rows) == 500 or held > BATCH_BYTES:
                     yield pd.DataFrame(rows)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows)
 
-    got = files.mapInPandas(run, SCHEMA)
+    got = records(spark, path).mapInPandas(run, SCHEMA)
     names = lambda c: F.array_join(F.transform(c, lambda a: a["email"]), ",")
     uid = F.sha2(F.concat_ws("\x01", F.date_format("date", "yyyy-MM-dd HH:mm"), names("from"), names("to"), names("cc"), names("bcc"), F.coalesce("message_id", F.lit("")), F.coalesce("subject", F.lit("")), F.when(F.col("message_id").isNull() & F.col("hacky_date"), F.concat(F.substring("body", 1, 500), F.expr("right(body, 500)"), F.length("body").cast("string"))).otherwise("")), 256)
     return got.withColumn("doc_id", uid)
@@ -135,3 +155,16 @@ def read_mbox(spark: SparkSession, path: str) -> DataFrame:
 def last_seen(messages: DataFrame, keys: list[str], uid: str) -> DataFrame:
     """Where an incremental fetch goes on: the largest id per account and folder."""
     return messages.groupBy(*keys).agg(F.max(uid).alias("last_uid"))
+
+
+def unseen(messages: DataFrame, seen: DataFrame, keys: list[str], uid: str) -> DataFrame:
+    """Messages beyond what `last_seen` has of their account and folder; all of those that it does not have.
+
+    Messages without an id cannot be told from known ones and are taken again.
+    """
+    mark = seen.select(*[F.col(k).alias(f"_{k}") for k in keys], "last_uid")
+    same = None
+    for k in keys:
+        one = F.col(k).eqNullSafe(F.col(f"_{k}"))
+        same = one if same is None else same & one
+    return messages.join(mark, same, "left").where(F.col("last_uid").isNull() | F.col(uid).isNull() | (F.col(uid) > F.col("last_uid"))).select(*messages.columns)

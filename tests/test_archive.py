@@ -75,6 +75,48 @@ def test_mbox_round_trip(spark, mail, tmp_path):
     assert key(again) == key(mail)
 
 
+def test_one_mailbox_is_many_tasks(spark, tmp_path):
+    """A folder of 20 MB is written as several files and read by several tasks, whatever the cuts."""
+    rows = spark.range(4000).selectExpr("'big' as folder", "timestamp '2001-01-01' + make_interval(0, 0, 0, 0, 0, id % 50) as date", "concat('n', id) as subject", "concat('<', id, '@x>') as message_id", "concat('From here ', id, '\nFrom there\n', repeat(concat('line ', id, '\n'), 500)) as body", "'' as annotation", "cast(array() as array<string>) as label_names")
+    for n in ("from", "to", "cc", "bcc"):
+        rows = rows.withColumn(n, F.expr("array(named_struct('name', cast(null as string), 'email', 'a@b'))"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as if it were large
+    export.write_mbox(rows, str(tmp_path / "out"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "out").glob("folder=big/part-*"))) > 1
+    whole = tmp_path / "one"
+    whole.mkdir()
+    (whole / "big").write_bytes(b"".join(f.read_bytes() for f in sorted((tmp_path / "out").glob("folder=big/part-*"))))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want = {(r.subject, r.body.rstrip("\n")) for r in rows.collect()}
+    try:
+        for size in ("100000000", "1000003"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            for path in ("out", "one"):
+                got = mbox.read_mbox(spark, str(tmp_path / path))
+                assert {(r.subject, r.body.rstrip("\n")) for r in got.collect()} == want
+        assert mbox.records(spark, str(whole)).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_records_at_a_files_ends(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"Subject: before any separator\n\nx\n\nFrom a b\nSubject: two\r\n\r\n>From y\r\n\nFrom From c\nFrom: z@x\nSubject: three\n\nFrom")
+    (tmp_path / "b").write_bytes(b"")
+    (tmp_path / "c").write_bytes(b"\n\n")
+    got = {r.subject.strip(): r.body.strip() for r in mbox.read_mbox(spark, str(tmp_path)).collect()}
+    assert got == {"before any separator": "x", "two": "From y", "three": "From"}
+
+
+def test_unseen(spark):
+    old = spark.createDataFrame([("a", "f", 1), ("a", "f", 5), (None, "f", 3)], "account string, folder string, uid long")
+    new = spark.createDataFrame([("a", "f", 4), ("a", "f", 6), ("a", "g", 1), (None, "f", 3), (None, "f", 9), ("a", "f", None)], "account string, folder string, uid long")
+    keys = ["account", "folder"]
+    got = mbox.unseen(new, mbox.last_seen(old, keys, "uid"), keys, "uid").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([("a", "f", 6), ("a", "g", 1), (None, "f", 9), ("a", "f", None)], key=repr)
+    assert mbox.unseen(new, mbox.last_seen(old.where("false"), keys, "uid"), keys, "uid").count() == 6
+
+
 def _eml(*files, plain=None, html=None):
     m = EmailMessage()
     m["From"], m["Subject"], m["Date"] = "ann@x.org", f"{plain is not None} {html is not None} {len(files)}", "Mon, 01 Jan 2001 10:00:00 +0000"
