@@ -409,3 +409,4 @@ from postbag import catalog_more as _more  # noqa: E402, F401  registers its que
 from postbag import catalog_files as _files  # noqa: E402, F401  and here
 from postbag import catalog_names as _names  # noqa: E402, F401  and here
 from postbag import catalog_index as _index  # noqa: E402, F401  and here
+from postbag import catalog_links as _links  # noqa: E402, F401  and here
