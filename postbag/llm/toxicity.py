@@ -22,6 +22,7 @@ of its bytes).  Columns other than doc_id and text are not read, whatever their
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,6 +43,7 @@ TRAIN_WORDS = 8
 DICTIONARY = 65_536
 #: Distinct words whose distance a worker keeps.
 CACHE_WORDS = 2_500_000
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BEFORE, _AFTER = b"\x01\x02\x03\x04\x05\x06", b"\x06\x05\x04\x03\x02\x01"
 
 
@@ -53,8 +55,8 @@ def _train(texts: list[str], size: int) -> bytes:
     """A dictionary of at most `size` bytes: what zstandard learns from all windows of
     the texts, then framed words, the most usual ones last, where offsets are short."""
     windows, count = [], Counter()
-    for t in texts:
-        words = t.lower().split()
+    for t in pc.utf8_lower(pa.array(texts, pa.string())).to_pylist():
+        words = _WORD.findall(t)  # the words that scoring finds
         count.update(words)
         windows += [f" {' '.join(words[i : i + TRAIN_WORDS])} ".encode() for i in range(0, len(words), TRAIN_WORDS)]
     trained = b""
