@@ -8,15 +8,17 @@ text lies inside its span is found by rendering it once more with a probe charac
 in place of the text.  Assistant texts form the loss mask.
 
 Every whole prefix is rendered and compared with the one before it, so time grows
-with the square of a conversation's length and memory with its length.  Only for a
-template that is declared history-free (a turn's span depends on that turn alone,
-as with `marked`) are whole prefixes rendered for the first `PREFIX` turns and later
-turns after the one before them, in linear time and with the memory of the first
-turns.  Conversations are dealt by conv_id and sorted, and stream through a task
-row by row.
+with the square of a conversation's length.  A template may be declared history-free
+(a turn's span depends on that turn alone, as with `marked`): then a turn is rendered
+after the one before it only, and a digest of all spans so far is kept.  The declaration
+is checked: after 1, 2, 4, 8, ... turns and at a conversation's end the whole prefix is
+rendered, and its digest must be that of the spans, else it is an error.  All that takes
+about three times the length of the conversation.  Conversations are dealt by conv_id and
+sorted, and stream through a task row by row; a conversation's turns are kept to its end.
 
 Null texts and roles are empty.  Turns with equal numbers are ordered by role and
-text.  Control strings inside texts are escaped reversibly.  An empty table gives no
+text.  Control strings inside texts are escaped reversibly.  Rows without conv_id belong to
+no conversation and are left out.  Other columns are not read.  An empty table gives no
 rows.
 """
 
@@ -33,7 +35,6 @@ from pyspark.sql import functions as F
 from postbag.llm import common
 
 START, END = "<|im_start|>", "<|im_end|>"
-PREFIX = 32
 PROBE = ""
 Turn = tuple[str, str]
 
@@ -69,11 +70,31 @@ class Renderer:
     def __init__(self, template: Callable[[list[Turn]], str], history_free: bool = False):
         self.template, self.history_free = template, history_free
         self.turns, self.done, self.rewrites, self.count = [], template([]), False, 0
+        self.every, self.digest = [], hashlib.sha256(self.done.encode("utf-8", "surrogatepass"))
+
+    def check(self) -> None:
+        """Whether the spans so far are the output for all turns, as a history-free template's are."""
+        whole = hashlib.sha256(self.template(self.every).encode("utf-8", "surrogatepass"))
+        if whole.digest() != self.digest.digest():
+            raise ValueError("the template was declared history-free, but a turn's span depends on others")
 
     def add(self, role: str, text: str) -> tuple[str, int, int]:
         """(span, first and end of the text inside it) of the next turn."""
+        out = self._span(role, text)
+        if self.history_free:
+            self.every.append((role, text))
+            self.digest.update(out[0].encode("utf-8", "surrogatepass"))
+            if self.count & (self.count - 1) == 0:
+                self.check()
+        return out
+
+    def close(self) -> None:
+        if self.history_free and self.count & (self.count - 1):
+            self.check()
+
+    def _span(self, role: str, text: str) -> tuple[str, int, int]:
         self.count += 1
-        if self.history_free and self.count > PREFIX:  # one turn of context
+        if self.history_free and self.count > 2:  # one turn of context
             self.turns = self.turns[-1:]
             self.done = self.template(self.turns)
         whole = self.template([*self.turns, (role, text)])
@@ -112,6 +133,8 @@ def render(conversations: DataFrame, template: Callable[[list[Turn]], str] = mar
             cols: list[list] = [[] for _ in range(8)]
             for conv, role, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if state is None or conv != now:
+                    if state is not None:
+                        state.close()
                     now, state = conv, Renderer(template, free)
                 role, text = role or "", text or ""
                 span, first, stop = state.add(role, text)
@@ -119,6 +142,8 @@ def render(conversations: DataFrame, template: Callable[[list[Turn]], str] = mar
                     c.append(x)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["conv_id", "number", "role", "span", "text_from", "text_to", "loss", "rewrites"])
+        if state is not None:
+            state.close()
 
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     return rows.where("conv_id is not null").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, SCHEMA)
