@@ -12,8 +12,9 @@ ASCII.  Null or empty texts have no words: such documents have n_words 0, such i
 no window.  An item of fewer words than a window is one window.  Items are told
 apart by a 128-bit hash of their words; item_id is only reported.  So items with
 equal texts are each reported, texts under one item_id are each searched, and the
-passages of an item without item_id are hits that no item is named for.  Empty
-tables give counts of 0 or no rows.
+passages of an item without item_id are hits that no item is named for.  Rows of one
+doc_id, and rows without one, each get their own counts.  A very long text is one row.
+Empty tables give counts of 0 or no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -95,7 +96,8 @@ def postings(docs: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items (sorted as strings), contaminated."""
-    docs = common.doc_ids_and_text(docs)
+    # a row without an id goes by a hash of its text; what a shared key finds is compared with each row's own words
+    docs = common.doc_ids_and_text(docs).select(F.coalesce("doc_id", F.xxhash64("text")).alias("doc_id"), "text", F.col("doc_id").alias("id"))
     items = common.written(items_of(benchmark), "items")
     terms = items.select(F.explode("words").alias("term")).distinct()
     counts = common.written(term_counts(docs, terms, terms.count()), "terms")
@@ -117,7 +119,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
         transform(array_append(f.misses, f.m), (x, k) -> struct(f.names as names, f.shift + if(k = 0, 0, f.misses[k - 1] + 1) as lo, f.shift + x as hi, f.m as m)),
         s -> s.hi - s.lo >= least({window}, s.m))))"""
     # rows: a document, its words only once, hits as spans
-    joined = docs.join(listed, "doc_id", "left").select("doc_id", split_words().alias("raw"), "found")
+    joined = docs.join(listed, "doc_id", "left").select(F.col("id").alias("doc_id"), split_words().alias("raw"), "found")
     # through a generator, so that the words are lower-cased once a document and not anew for each item word looked up
     lowered = joined.select("doc_id", F.size("raw").cast("long").alias("n_words"), "found", F.explode(F.array(F.when(F.col("found").isNotNull(), F.transform("raw", lower_az)))).alias("w"))
     spanned = lowered.select("doc_id", "n_words", F.when(F.col("found").isNotNull(), F.expr(f"transform(array({runs}), r -> {spans})[0]")).alias("s"))

@@ -109,6 +109,13 @@ def test_decontamination_of_items_without_or_with_shared_ids(spark):
     assert got == {0: (10, 1, ["7"], True), 1: (10, 1, ["7"], True), 2: (10, 2, ["7", "8"], True), 3: (10, 2, ["7", "8"], True), 4: (10, 0, [], True), 5: (0, 0, [], False)}
 
 
+def test_decontamination_of_rows_without_ids(spark):
+    item = " ".join(f"a{i}" for i in range(12))
+    rows = [(None, f"x {item}"), (None, f"{item} y {item}"), (None, None), (None, "clean"), (4, item), (4, "clean"), (None, f"x {item}")]
+    got = [(r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in phrases.contaminated(spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit(7)), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()]
+    assert sorted(got, key=repr) == sorted([(None, 13, 12, True), (None, 25, 24, True), (None, 0, 0, False), (None, 1, 0, False), (4, 12, 12, True), (4, 1, 0, False), (None, 13, 12, True)], key=repr)
+
+
 def test_decontamination_without_items(spark, docs):
     none = spark.createDataFrame([(1, None)], "item_id long, text string")
     assert phrases.contaminated(docs, none).where("contaminated").count() == 0
@@ -173,11 +180,49 @@ def test_late_spans_are_those_of_the_whole_output():
     assert _spans(chat.marked, 50, history_free=True)[1] == _spans(chat.marked, 50)[1]
 
 
+def test_a_wrong_declaration_is_found(spark):
+    numbered = lambda turns: "".join(f"[{i}]{t}" for i, (_, t) in enumerate(turns))
+    late = lambda turns: ("long:" if len(turns) > 40 else "") + "".join(t for _, t in turns)
+    for template, n in ((numbered, 4), (late, 64)):
+        with pytest.raises(ValueError, match="declared history-free"):
+            _spans(template, n, history_free=True)
+    r, _ = _spans(late, 50, history_free=True)
+    with pytest.raises(ValueError, match="declared history-free"):
+        r.close()
+    rows = spark.createDataFrame([(c, i, "user", f"t{i}.") for c in (1, 2) for i in range(45)], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="declared history-free"):
+        chat.render(rows, late, history_free=True).collect()
+    assert chat.render(rows, chat.marked).count() == 90
+
+
 def test_escape_round_trip():
     for t in ("", "&", "&amp;", "&lt;|", "<|", "<<||>", "&amp;lt;|", SAID):
         assert chat.unescape(chat.escape(t)) == t and "<|" not in chat.escape(t)
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null ids and texts, empty texts, repeats, other columns, and no rows at all."""
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    item = bench.orderBy(F.length("text").desc()).first().text
+    good = docs.where("length(text) > 400").orderBy("doc_id").first()
+    odd = [(None, None), (None, ""), (None, good.text), (good.doc_id, good.text), (None, f"{good.text} {item}"), (7_000_000, " "), (7_000_001, "x " * 50_000)]
+    more = spark.createDataFrame(odd, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.lit(0).cast("long")})
+    wide = docs.unionByName(more).withColumns({"w": F.lit(1), "_w": F.lit("x"), "n_words": F.lit(2), "kept": F.lit(False), "found": F.lit(3), "_key": F.lit("k")})
+    for name, frame in (("odd", wide), ("none", wide.where("false"))):
+        place = tmp_path / name
+        frame.write.parquet(f"{place}/documents.parquet")
+        for t in ("benchmark", "labels"):
+            spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{place}/{t}.parquet")
+        assert cp.run(spark, str(place)).count() == 0 if name == "none" else cp.run(spark, str(place)).count() > 0
+    step = cp.decontamination(spark, wide, SF)
+    assert step.columns == wide.columns
+    left = [(r.doc_id, r.text) for r in step.collect()]
+    assert (None, good.text) in left and (None, f"{good.text} {item}") not in left and (None, None) in left
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
