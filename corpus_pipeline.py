@@ -5,8 +5,8 @@ columns of documents.  `run` applies them to documents, each written and read ag
 
 Rows are judged each for itself by the classifier and the rules, so repeated rows
 and rows of null doc_id get their own verdict.  Null and empty texts go with the
-rules (no words).  Near-duplicates and decontamination name documents by doc_id:
-rows of null doc_id cannot be named and stay.  An empty table stays empty.  Columns
+rules (no words).  Near-duplicates name documents by doc_id: rows of null doc_id cannot
+be named and stay.  Decontamination takes such rows by their text.  An empty table stays empty.  Columns
 other than doc_id and text pass through unread; they must not be called `_row` or
 `_score`.
 """
@@ -43,9 +43,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of a benchmark item."""
-    gone = phrases.contaminated(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(written(gone, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    """Drop documents that hold a window of a benchmark item; rows without doc_id go by their text."""
+    key = "_key"
+    while key in docs.columns:
+        key = f"_{key}"
+    named = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    found = phrases.contaminated(named.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = found.where("contaminated").select(F.col("doc_id").alias(key)).distinct()
+    return named.join(written(gone, "contaminated"), key, "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
