@@ -393,7 +393,15 @@ def _srt01(spark, sf):
     return search({"messages": heads(spark, sf)}, SearchSpec(sort="recent", limit=100)).select("doc_id", "date")
 
 
-@query("O_STR_10_html_text")
+@query(
+    "O_STR_10_html_text",
+    r"""
+with a as (select page_id, regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<!--.*?-->', ' ', 'g') as t from pages),
+b as (select page_id, regexp_replace(t, '(?s)<[^>]*>', ' ', 'g') as t from a),
+c as (select page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') as t from b)
+select page_id, trim(regexp_replace(t, '[ \t\n\x0b\f\r]+', ' ', 'g')) as text from c""",
+    views=False,
+)
 def _str10(spark, sf):
     return read(spark, sf, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
 

@@ -258,7 +258,7 @@ query("O_JOIN_18_co_occurring", ", m as (select distinct doc_id, split_part(name
     lambda s, d: entities.co_occurring(_found(s, d).select("doc_id", "text").unionByName(recipients(s, d).select("doc_id", F.col("name").alias("text"))), "Customer#000000001")
 )
 query("O_NER_11_expansions", "select from_name as text, count(*) as n from heads where contact_id between 1 and 9 group by 1")(
-    lambda s, d: entities.expansions(_found(s, d), heads(s, d).select("doc_id", F.col("contact_id").alias("thread_id"), F.lit(False).alias("asks")), "customer#00000000", 1_000_000).where("text != 'Customer#000000000'").select("text", "n")
+    lambda s, d: entities.expansions(_found(s, d), heads(s, d).select("doc_id", F.col("contact_id").alias("thread_id"), F.lit(False).alias("asks")), "customer#00000000", None).where("text != 'Customer#000000000'").select("text", "n")
 )
 
 # ---- filters

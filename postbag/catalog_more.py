@@ -169,11 +169,17 @@ def _join14(s, d):
     return got.select(F.regexp_extract(F.get("emails", F.lit(0)), r"(\d+)$", 1).cast("long").alias("k"), F.size("names").alias("n_names"), F.size("emails").alias("n_emails"))
 
 
-@query("O_JOIN_15_merge_labels", "select name, label_id from (values ('red', 'a'), ('blue', 'b'), ('green', 'b-other'), ('grey', 'c')) v(name, label_id)", views=False)
-def _join15(s, d):
-    one = s.createDataFrame([("a", "red"), ("b", "blue")], "label_id string, name string")
-    other = s.createDataFrame([("z", "red"), ("b", "green"), ("c", "grey")], "label_id string, name string")
-    return messages.merge_labels(one, other)
+query(
+    "O_JOIN_15_merge_labels",
+    """with one as (select cast(c_custkey as varchar) as id, c_name as name from customer), other as (select cast(c_custkey + 3 as varchar) as id, case when c_custkey % 2 = 0 then c_name else c_name || ' bis' end as name from customer)
+select coalesce(one.name, other.name) as name, coalesce(one.id, case when other.id in (select id from one) then other.id || '-other' else other.id end) as label_id from one full join other on one.name = other.name""",
+    views=False,
+)(
+    lambda s, d: messages.merge_labels(
+        read(s, d, "customer").select(F.col("c_custkey").cast("string").alias("label_id"), F.col("c_name").alias("name")),
+        read(s, d, "customer").select((F.col("c_custkey") + 3).cast("string").alias("label_id"), F.concat("c_name", F.when(F.col("c_custkey") % 2 == 0, "").otherwise(" bis")).alias("name")),
+    )
+)
 
 
 query("O_JOIN_16_authority_candidates", "select c_custkey as contact_id, c_custkey as authority_id from customer where c_custkey % 2 = 0", views=False)(
@@ -185,7 +191,7 @@ query("O_JOIN_16_authority_candidates", "select c_custkey as contact_id, c_custk
 query("O_JOIN_20_thread_siblings", "select doc_id % 500 as thread_id, doc_id from heads where doc_id % 500 in (select doc_id % 500 from heads where doc_id <= 3)")(lambda s, d: messages.siblings(heads(s, d).select((F.col("doc_id") % 500).alias("thread_id"), "doc_id"), heads(s, d).where("doc_id <= 3")))
 query("O_SET_01_intersection", "select doc_id from heads where doc_id % 2 = 0 and folder = 'mail/F' and doc_id % 3 <> 0")(lambda s, d: C.difference_of(C.intersection_of([heads(s, d).where("doc_id % 2 = 0").select("doc_id"), None, heads(s, d).where("folder = 'mail/F'").select("doc_id")]), heads(s, d).where("doc_id % 3 = 0").select("doc_id")))
 query("O_SET_01_union", "select doc_id from heads where doc_id % 2 = 0 or folder = 'mail/F'")(lambda s, d: C.union_of([heads(s, d).where("doc_id % 2 = 0").select("doc_id"), heads(s, d).where("folder = 'mail/F'").select("doc_id")]))
-query("O_SET_02_roles", ROLES + "select contact_id, doc_id, role from roles")(lambda s, d: archive(s, d)["contact_docs"].select("contact_id", "doc_id", "role"))
+query("O_SET_02_roles", ROLES + "select contact_id, doc_id, role from roles")(lambda s, d: contacts.union_roles([archive(s, d)["contact_docs"].where(part) for part in ("doc_id % 3 = 0", "doc_id % 3 != 0", "doc_id % 2 = 0")]))
 query("O_ARR_01_arrays", "select p_partkey, list_filter(string_split(p_name, ' '), lambda x: lower(x) not in ('red', 'steel')) as kept, len(list_filter(string_split(p_name, ' '), lambda x: lower(x) not in ('red', 'steel'))) as n from part", views=False)(
     lambda s, d: read(s, d, "part").select("p_partkey", C.without(F.split("p_name", " "), F.array(F.lit("RED"), F.lit("Steel"))).alias("kept")).withColumn("n", _long(F.size("kept")))
 )
@@ -279,7 +285,9 @@ query("O_NER_16_mailing_lists", """
 select contact_id, cast(bit_or(b) as integer) as ml_state from (
   select -r.contact_id as contact_id, case when r.doc_id % 11 = 0 then 8 when h.contact_id <> 1 then case when k = 1 then 1 else 2 end else 0 end as b from recipients r join heads h using (doc_id) join to1 using (doc_id)
   union all select contact_id, 4 from heads) group by 1""")(lambda s, d: contacts.mailing_list_state(heads(s, d).select("doc_id", "contact_id", (F.col("doc_id") % 11 == 0).alias("list_post")), recipients(s, d).select("doc_id", (-F.col("contact_id")).alias("contact_id")), 1))
-query("O_XC_01_across_archives", "select distinct email_source as archive_id, from_name as display from heads where contains(from_name, '#00000001')")(lambda s, d: entities.across_archives(heads(s, d).where(F.col("from_name").contains("#0000000")).select(F.col("email_source").alias("archive_id"), F.regexp_replace("from_name", "#0000000(1.)$", "#00000001 1$1").alias("display")), "#00000001").select("archive_id", F.regexp_replace("display", "#00000001 1", "#0000000").alias("display")))
+query("O_XC_01_across_archives", "select distinct email_source as archive_id, from_name as display from heads where contains(lower(from_name), 'customer#000000012')")(
+    lambda s, d: entities.across_archives(heads(s, d).select(F.col("email_source").alias("archive_id"), F.col("from_name").alias("display")), "Customer#000000012").select("archive_id", "display")
+)
 query("O_SRT_04_closest_entities", """
 , f as (select contact_id as entity, r.contact_id as feature, count(*) as w from heads h join recipients r using (doc_id) group by 1, 2),
 f2 as (select h.contact_id as entity, r.contact_id as feature, cast(count(*) as double) as w from heads h join recipients r on h.doc_id = r.doc_id group by 1, 2),
@@ -292,6 +300,6 @@ def _closest(s, d):
     """All entities by likeness to the sender with the lowest id; features are recipients."""
     f = heads(s, d).select("doc_id", F.col("contact_id").cast("string").alias("entity")).join(recipients(s, d).select("doc_id", F.col("contact_id").alias("feature")), "doc_id").groupBy("entity", "feature").agg(F.count("*").cast("double").alias("weight"))
     target = str(heads(s, d).agg(F.min("contact_id")).first()[0])
-    return entities.closest(f, target, 1_000_000).select(_long(F.col("entity")).alias("entity"), F.round("score", 6).alias("score"))
+    return entities.closest(f, target).select(_long(F.col("entity")).alias("entity"), F.round("score", 6).alias("score"))
 
 

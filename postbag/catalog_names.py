@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from postbag.catalog import query
 from postbag.functions import types as kinds
-from postbag.operators import candidates, decode, naive
+from postbag.operators import candidates, decode, entities, naive
 from postbag.operators import recogniser as R
 from postbag.operators.model import read
 
@@ -49,7 +49,7 @@ def texts(s, d):
     title = lambda c: F.initcap(F.lower(c))
     person, company = F.concat(title("c_mktsegment"), F.lit(" Buyer of "), title("r_name")), F.concat(title("p_name"), F.lit(" & Co"))
     street = F.concat(title("c_mktsegment"), F.lit(" "), title("r_name"), F.lit(" Street"))
-    body = F.concat(F.lit("Yesterday "), person, F.lit(" met "), company, F.lit(" at "), street, F.lit(". They say that yesterday was fine."))
+    body = F.concat(F.lit("Yesterday "), person, F.lit(" met "), company, F.lit(" near "), street, F.lit(". They say that yesterday was fine."))
     return m.select(F.col("o_orderkey").alias("doc_id"), body.alias("text"))
 
 
@@ -195,6 +195,26 @@ query(
 )(lambda s, d: _recognised(s, d).select("doc_id", "text", "type"))
 
 
+_KEY = "array_to_string(list_sort(list_filter(string_split_regex(text, '[\\s\".;,#@&()-]+'), lambda x: x <> '')), ' ')"
+_RECOGNISED = _TOLD + ", f as (select doc_id, seg || ' buyer of ' || region as text, 0 as type from m union all select doc_id, part || ' & co', 1 from m union all select doc_id, seg || ' ' || region || ' street', 5 from m), k as (select *, " + _KEY + " as cname from f)"
+query("O_AGG_17_entity_book_recognised", _RECOGNISED + " select type, cname, min(text) as display, count(distinct doc_id) as messages, 1.0::double as score from k group by type, cname", views=False)(
+    lambda s, d: entities.entity_book(_recognised(s, d)).select("type", "cname", F.get("names", F.lit(0)).alias("display"), "messages", "score")
+)
+query("O_SRT_03_top_recognised", _RECOGNISED + ", b as (select type, cname, count(distinct doc_id) as n from k group by 1, 2) select type, cname, n as messages from (select *, row_number() over (partition by type order by n desc, cname) as place from b) where place <= 3", views=False)(
+    lambda s, d: entities.top_entities(entities.entity_book(_recognised(s, d)), 3, 100).select("type", "cname", "messages")
+)
+query(
+    "O_NER_01_candidates",
+    _TOLD
+    + """, w as (select doc_id, upper(seg[1]) || seg[2:] as seg, array_to_string(list_transform(string_split(region, ' '), lambda x: upper(x[1]) || x[2:]), ' ') as region, array_to_string(list_transform(string_split(part, ' '), lambda x: upper(x[1]) || x[2:]), ' ') as part from m),
+n as (select doc_id, 'Yesterday ' || seg || ' Buyer of ' || region as a, part || ' & Co' as b, seg || ' ' || region || ' Street' as c from w)
+select doc_id, a as text, cast(0 as integer) as start, cast(length(a) as integer) as stop from n
+union all select doc_id, b, cast(length(a) + 5 as integer), cast(length(a) + 5 + length(b) as integer) from n
+union all select doc_id, c, cast(length(a) + length(b) + 11 as integer), cast(length(a) + length(b) + 11 + length(c) as integer) from n""",
+    views=False,
+)(lambda s, d: candidates.candidates(texts(s, d), dictionary=["they"]).select("doc_id", "text", "start", "stop"))
+
+
 @query("O_NER_03_segments")
 def _segments(s, d):
     """Phrases of several names run together, cut into segments."""

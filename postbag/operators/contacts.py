@@ -48,6 +48,14 @@ def summaries(docs: DataFrame, messages: DataFrame) -> DataFrame:
     return j.groupBy("contact_id").agg(role("sent"), role("received"), role("received_from_owner"), F.min(F.when(ok, F.col("date"))).alias("first"), F.max(F.when(ok, F.col("date"))).alias("last"))
 
 
+def union_roles(parts: list[DataFrame]) -> DataFrame:
+    """Role rows (contact_id, doc_id, role) of several parts of an archive as one: each role of a contact in a message once."""
+    out = parts[0].select("contact_id", "doc_id", "role")
+    for p in parts[1:]:
+        out = out.unionByName(p.select("contact_id", "doc_id", "role"))
+    return out.distinct()
+
+
 def ranked(summary: DataFrame) -> DataFrame:
     """Order of the correspondents page: by messages in, then by messages out."""
     keyed = summary.withColumns({"_s": -F.col("sent"), "_r": -(F.col("received") + F.col("received_from_owner"))})

@@ -180,7 +180,7 @@ def segments(phrases: DataFrame, model: R.Model, nouns: DataFrame | None = None)
                 found: dict[str, list[int]] = {}
                 for h in hits_ or []:
                     found.setdefault(h["name"], []).append(h["type"])
-                names = [noun.get(x, x in lifted or x in _JOIN or x in _SIGN or not x[0].isalpha()) for x in w]
+                names = [x in _JOIN or x in _SIGN or noun.get(x, x in lifted or not x[0].isalpha()) for x in w]
                 p = Phrase(w, entries, {f["word"]: f["kind"] for f in facts_ if f["kind"] is not None}, found, {f["word"] for f in facts_ if f["common"]}, names, total, smooth, unseen)
                 for i, j, kind, log in p.cut():
                     text = " ".join(w[i:j])

@@ -64,7 +64,7 @@ def co_occurring(found: DataFrame, name: str) -> DataFrame:
     return m.join(m.where(F.col("cname") == key).select("doc_id"), "doc_id", "left_semi").where(F.col("cname") != key).groupBy("cname").agg(F.count("*").alias("n"))
 
 
-def expansions(found: DataFrame, docs: DataFrame, name: str, top: int = 10) -> DataFrame:
+def expansions(found: DataFrame, docs: DataFrame, name: str, top: int | None = 10) -> DataFrame:
     """Fuller forms of a name, from nearer sources first: the same message 1.0, its thread
     0.9, anywhere 0.7.  `docs` has doc_id, thread_id and whether it `asks`."""
     wanted = name.lower()
@@ -72,7 +72,8 @@ def expansions(found: DataFrame, docs: DataFrame, name: str, top: int = 10) -> D
     j = hit.join(docs.select("doc_id", "thread_id", "asks"), "doc_id")
     near = docs.where("asks").select(F.col("thread_id").alias("t")).distinct()
     scored = j.join(near, j.thread_id == near.t, "left").select("text", F.when(F.col("asks"), 1.0).when(F.col("t").isNotNull(), 0.9).otherwise(0.7).alias("score"))
-    return scored.groupBy("text").agg(F.max("score").alias("score"), F.count("*").alias("n")).orderBy(F.desc("score"), F.desc("n"), "text").limit(top)
+    out = scored.groupBy("text").agg(F.max("score").alias("score"), F.count("*").alias("n"))
+    return out.orderBy(F.desc("score"), F.desc("n"), "text").limit(top) if top else out
 
 
 def expand_lexicon(entries: dict[str, str]) -> dict[str, str]:
@@ -164,7 +165,7 @@ def name_table(found: DataFrame, hits: DataFrame, people: DataFrame) -> DataFram
     return base.join(tone, "cname", "left").join(met, "cname", "left").select("cname", "mentions", "messages", F.coalesce("captions", F.expr("cast(map() as map<string,bigint>)")).alias("captions"), F.coalesce("people", F.lit(0)).alias("people"))
 
 
-def closest(features: DataFrame, target: str, top: int) -> DataFrame:
+def closest(features: DataFrame, target: str, top: int | None = None) -> DataFrame:
     """Entities most like the target by cosine of their features (entity, feature, weight):
     addresses and names that stand with them.  Only features of the target are joined."""
     norm = features.groupBy("entity").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
@@ -172,4 +173,5 @@ def closest(features: DataFrame, target: str, top: int) -> DataFrame:
     dot = features.where(F.col("entity") != target).join(mine, "feature").groupBy("entity").agg(F.sum(F.col("weight") * F.col("w")).alias("dot"))
     own = mine.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("own"))
     scored = dot.join(norm, "entity").join(F.broadcast(own), how="cross")  # one row on the right
-    return scored.select("entity", (F.col("dot") / (F.col("norm") * F.col("own"))).alias("score")).orderBy(F.desc("score"), "entity").limit(top)
+    out = scored.select("entity", (F.col("dot") / (F.col("norm") * F.col("own"))).alias("score"))
+    return out.orderBy(F.desc("score"), "entity").limit(top) if top else out
