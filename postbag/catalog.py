@@ -43,14 +43,22 @@ def archive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"messages": m, "contact_docs": docs, "doc_labels": h.select("doc_id", F.col("label").alias("label_id")), "annotations": h.where("amount > 300000").select("doc_id", F.concat(F.lit("large "), F.col("label")).alias("text")), "accessions": h.where("doc_id % 4 = 0").select("doc_id", F.lit("acc-1").alias("accession_id"))}
 
 
+def _flat(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The viewed archive with attachments as a flat table: nothing is grouped before the filters."""
+    h = heads(spark, sf_dir)
+    return {"messages": h, "attachments": attachments(spark, sf_dir), "doc_labels": h.select("doc_id", F.col("label").alias("label_id"))}
+
+
 def _hits(spec: SearchSpec):
-    return lambda spark, sf: search(archive(spark, sf), spec).select("doc_id", "subject", "folder")
+    # searches by attachment alone need no arrays of people
+    flat = any((spec.attachment_names, spec.attachment_ext, spec.attachment_regex, spec.attachment_size)) and not spec.direction
+    return lambda spark, sf: search((_flat if flat else archive)(spark, sf), spec).select("doc_id", "subject", "folder")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faceted search: order mail of one folder and year with a PDF, by sender."""
     spec = SearchSpec(folder="mail/F", start="1995-01-01", end="1996-12-31", attachment_ext=["pdf"], labels=["1-URGENT", "2-HIGH"], term="order", in_body=False)
-    return search(archive(spark, sf_dir), spec).select("doc_id", "date", "subject", "folder", "from_email", F.size("matched").alias("matched"))
+    return search(_flat(spark, sf_dir), spec).select("doc_id", "date", "subject", "folder", "from_email", F.size("matched").alias("matched"))
 
 
 query("search_flagship", """

@@ -1,7 +1,8 @@
 """Faceted search: a typed specification compiled to predicates and semi-joins.
 
 Tables (see `postbag.operators.model`): messages hold arrays of addresses,
-attachments and labels; side tables are keyed by doc_id.  Filters are joined by AND;
+attachments and labels; side tables are keyed by doc_id.  Attachments may be a flat side
+table instead: then they are filtered as rows and joined to the messages that are left.  Filters are joined by AND;
 values of one filter by OR.  A filter that is not given adds nothing to the plan, so
 the candidate set is never materialised and predicates reach the scan.
 """
@@ -66,7 +67,7 @@ class SearchSpec:
     several_restrictions: bool = False
     direction: str | None = None
     owner: str | None = None
-    sort: str = "chronological"
+    sort: str | None = None  # without one, hits are sorted (by date) only where a limit is given
     limit: int | None = None
 
 
@@ -79,8 +80,8 @@ def any_of(values: list[str], c: Column) -> Column:
     return F.coalesce(F.lower(c).isin([v.lower() for v in values]), F.lit(False))
 
 
-def attachment_match(a: Column, spec: SearchSpec) -> Column | None:
-    """All attachment conditions on one attachment struct (filename, ext, size, keywords)."""
+def attachment_match(a: Column | dict[str, Column], spec: SearchSpec) -> Column | None:
+    """All attachment conditions on one attachment (filename, ext, size, keywords), a struct or columns by name."""
     parts = []
     if spec.attachment_names:
         low = F.lower(a["filename"])
@@ -193,8 +194,10 @@ def search(tables: dict[str, DataFrame], spec: SearchSpec) -> DataFrame:
             keep.append(fulltext.compile_query(query, cols, tuple(cols)))
         else:
             keep.append(F.lit(False))
-    rule = attachment_match(F.col("attachments")[0], spec) is not None
-    if rule:
+    nested = "attachments" in m.columns
+    flat = {c: F.col(c) for c in ("filename", "ext", "size")}
+    rule = attachment_match(F.col("attachments")[0] if nested else flat, spec) is not None
+    if rule and nested:
         m = m.withColumn("matched", F.filter("attachments", lambda a: attachment_match(a, spec)))
         keep.append(F.size("matched") > 0)
     if spec.attachment_keywords:
@@ -202,6 +205,10 @@ def search(tables: dict[str, DataFrame], spec: SearchSpec) -> DataFrame:
         keep.append(F.exists("attachments", lambda a: F.arrays_overlap(a["keywords"], wanted)))
     for k in keep:
         m = m.where(k)
+    if rule and not nested:
+        # a flat table: its rows are filtered in the scan, and only those of messages left so far are collected
+        fits = _side(tables, "attachments").where(attachment_match(flat, spec)).join(m.select("doc_id"), "doc_id", "left_semi")
+        m = m.join(fits.groupBy("doc_id").agg(F.collect_list(F.struct("filename", "ext", "size")).alias("matched")), "doc_id")
 
     if spec.annotation or spec.annotated is not None:
         notes = _side(tables, "annotations").where("trim(text) != ''")
@@ -249,13 +256,16 @@ def count_hits(tables: dict[str, DataFrame], spec: SearchSpec) -> DataFrame:
     return search(tables, spec).groupBy().agg(F.count("*").alias("hits"))
 
 
-def ordered(m: DataFrame, sort: str = "chronological", limit: int | None = None, term: str | None = None) -> DataFrame:
-    """Sorted by date, subject and id (recent: newest first; relevance: occurrences first)."""
+def ordered(m: DataFrame, sort: str | None = None, limit: int | None = None, term: str | None = None) -> DataFrame:
+    """Sorted by date, subject and id (recent: newest first; relevance: occurrences first); as they come if neither a sort nor a limit is asked for."""
+    if sort is None and limit is None:
+        return m
     rest = [c for c in ("subject", "doc_id") if c in m.columns]
     if sort == "recent":
         m = m.orderBy(F.desc("date"), *rest)
     elif sort == "relevance" and term:
-        score = sum((fulltext.occurrences(fulltext.tokens(F.col("body")), w) for w in term.split()), F.lit(0))
+        toks = fulltext.tokens(F.col("body"), words=fulltext.query_words(term))
+        score = sum((fulltext.occurrences(toks, w) for w in term.split()), F.lit(0))
         m = m.withColumn("score", score).orderBy(F.desc("score"), "date", *rest)
     else:
         m = m.orderBy("date", *rest)
