@@ -158,7 +158,7 @@ query("O_FLT_42_expired", "select doc_id, date + interval 2 year <= timestamp '1
 @query("O_JOIN_02_contacts_by_name", "select doc_id, contact_id from recipients")
 def _join02(s, d):
     book = read(s, d, "supplier").select(F.col("s_suppkey").alias("contact_id"), F.concat(F.lower("s_name"), F.lit("@supply.example")).alias("email"), F.array(F.concat(F.lit("Ann "), F.col("s_name"))).alias("names"))
-    rows = recipients(s, d).select("doc_id", F.concat("name", F.lit(", \"Ann\"")).alias("name"), F.when(F.col("contact_id") % 2 == 0, F.col("email")).otherwise("gone@nowhere.example").alias("email"))
+    rows = recipients(s, d).select("doc_id", F.concat(F.lit("'"), "name", F.lit(", Ann (at work)'")).alias("name"), F.when(F.col("contact_id") % 2 == 0, F.col("email")).otherwise("gone@nowhere.example").alias("email"))
     return contacts.resolve(rows, book).select("doc_id", "contact_id")
 
 
@@ -245,8 +245,8 @@ def _fn(name, columns, sql, table="customer", key="c_custkey"):
 
 _cat = F.concat
 _l = F.lit
-_fn("O_STR_02_clean_person", lambda _c: {"a": T.clean_person_name(_cat(_l(' "<'), _c, _l(">[ "))), "b": T.clean_person_name(_cat(_l("Unknown "), _c)), "e": T.clean_person_name(_cat(_c, _l("@X.org")))}, "c_name as a, cast(null as varchar) as b, lower(c_name) || '@x.org' as e")
-_fn("O_STR_03_name_key", lambda _c: {"k": T.name_key(_cat(_l("Smith, Bob Q. "), _c)), "b": T.name_key(_cat(_c, _l(" smith q robert")))}, "lower(c_name) || ' robert smith' as k, lower(c_name) || ' robert smith' as b")
+_fn("O_STR_02_clean_person", lambda _c: {"a": T.clean_person_name(_cat(_l("'"), _c, _l(" (at home)  Lee [dept]'"))), "b": T.clean_person_name(_cat(_l("Unknown "), _c)), "e": T.clean_person_name(_cat(_c, _l("@X.org"))), "p": T.clean_person_name(_cat(_l("some-undisclosed-"), _c))}, "c_name || ' Lee' as a, cast(null as varchar) as b, lower(c_name) || '@x.org' as e, cast(null as varchar) as p")
+_fn("O_STR_03_name_key", lambda _c: {"k": T.name_key(_cat(_l("Smith, Bob Q. "), _c)), "b": T.name_key(_cat(_c, _l(" Q tony"))), "o": T.name_key(_c)}, "'robert ' || lower(c_name) || ' smith' as k, lower(c_name) || ' anthony' as b, lower(c_name) as o")
 _fn("O_STR_04_variants", lambda _c: {"v": T.canonical_variant(F.lower("c_mktsegment"), {"building": "house", "house": "home", "machinery": "tools", "tools": "machinery"})}, "case lower(c_mktsegment) when 'building' then 'home' else lower(c_mktsegment) end as v")
 _fn("O_STR_06_bare_subject", lambda _c: {"s": T.bare_subject(_cat(_l("Re: FWD: [list] re:"), _c)), "t": T.bare_subject(_cat(_l("[a list name of more than twenty] "), _c))}, "c_name as s, '[a list name of more than twenty] ' || c_name as t")
 _fn("O_STR_07_normal_subject", lambda _c: {"s": T.normal_subject(_cat(_l(" Re: Re: "), _c))}, "'re: ' || lower(c_name) as s")

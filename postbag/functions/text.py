@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postbag.functions import names
+
 # Word lists and limits that results depend on.
-NICKNAMES = {"bill": "william", "bob": "robert", "dick": "richard", "jim": "james", "joe": "joseph", "kate": "katherine", "liz": "elizabeth", "mike": "michael", "tom": "thomas", "tony": "anthony"}
-BANNED_NAME_WORDS = ["admin", "administrator", "undisclosed", "recipients", "unknown", "postmaster", "mailer-daemon"]
 TITLES = ["mr", "mrs", "ms", "dr", "prof", "sir"]
 DOCUMENT_EXT = ["doc", "docx", "pdf", "ppt", "pptx", "txt", "rtf", "xls", "xlsx", "html", "htm"]
 IMAGE_EXT = ["jpg", "jpeg", "png", "gif", "bmp", "tif", "tiff"]
@@ -24,22 +24,29 @@ def clean_email(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"^[\s'\"]+", ""), r"[\s'\"]+$", "")
 
 
-def clean_person_name(c: Column) -> Column:
-    """Without quotes and brackets; null if nothing alphabetic or a banned word is left."""
-    name = F.trim(F.regexp_replace(F.regexp_replace(c, r"[\"'\[\]<>(){}]", " "), r"\s+", " "))
-    name = F.when(F.instr(name, "@") > 0, F.lower(name)).otherwise(name)
-    banned = F.arrays_overlap(F.split(F.lower(name), r"\s+"), F.array(*map(F.lit, BANNED_NAME_WORDS)))
-    return F.when(name.rlike(r"\p{L}") & ~banned, name)
-
-
-def name_key(c: Column) -> Column:
-    """Order-free look-up key of a person name: lower-cased words, initials dropped when
-    two longer words are left, nicknames resolved, sorted."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(clean_person_name(c)), r"[.,]", " "), r"\s+"), lambda w: w != "")
+def clean_person_name(c: Column, banned_words: list[str] = names.BANNED_WORDS, banned_parts: list[str] = names.BANNED_PARTS) -> Column:
+    """A display name without quotes around it and without what stands in round or square
+    brackets; null if nothing alphabetic or something banned is in it.  An address in its
+    place is lower-cased."""
+    one = F.trim(c)
+    for quote in ("'", '"'):
+        one = F.when((F.length(one) >= 2) & one.startswith(quote) & one.endswith(quote), F.substring(one, F.lit(2), F.length(one) - 2)).otherwise(one)
+    bare = F.trim(F.regexp_replace(one, r"\([^)]*\)|\[[^\]]*\]", ""))
+    plain = F.trim(F.regexp_replace(bare, r"\s+", " "))
+    banned = F.arrays_overlap(F.split(F.lower(plain), " "), F.array(*map(F.lit, banned_words)))
+    for part in banned_parts:
+        banned = banned | F.contains(F.lower(bare), F.lit(part))
+    return F.when(~one.rlike(r"\p{L}"), None).when(F.instr(bare, "@") > 0, F.lower(bare)).when(~banned, plain)
+
+
+def name_key(c: Column, variants: dict[str, str] = names.VARIANTS) -> Column:
+    """Look-up key of a person name: lower-cased words, initials dropped when two longer words
+    are left, sorted, each then as the name that it is a variant of.  A single word stays as it is."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(clean_person_name(c), F.lit(""))), r"[.,]", " "), r"\s+"), lambda w: w != "")
     long_ = F.filter(words, lambda w: F.length(w) > 1)
-    kept = F.when(F.size(long_) >= 2, long_).otherwise(words)
-    pairs = F.create_map(*[F.lit(x) for kv in NICKNAMES.items() for x in kv])
-    return F.array_join(F.array_sort(F.transform(kept, lambda w: F.coalesce(pairs[w], w))), " ")
+    kept = F.when((F.size(words) > 2) & (F.size(long_) >= 2), long_).otherwise(words)
+    pairs = F.create_map(*[F.lit(x) for full, short in variants.items() for v in short.split() for x in (v, full)])
+    return F.when(F.size(words) <= 1, F.array_join(words, " ")).otherwise(F.array_join(F.transform(F.array_sort(kept), lambda w: F.coalesce(pairs[w], w)), " "))
 
 
 def entity_key(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postbag.functions import dates
 from postbag.functions import text as T
+from postbag.functions.names import BANNED_ADDRESSES
 from postbag.operators.windows import numbered
 
 # Bits of the mailing-list state.
@@ -15,8 +16,13 @@ USER_ASSIGNED, SUPER_DEFINITE, DEFINITE, MAYBE, DEFINITE_NOT = 16, 8, 1, 2, 4
 
 def address_book(addresses: DataFrame) -> DataFrame:
     """Contacts from (name, email) rows: one per cleaned address, with its names, best name
-    and a stable id (rank of the address)."""
+    and a stable id (hash of the address).  Addresses of offices and lists tell no name, nor
+    does a name with an @."""
     a = addresses.select(T.clean_email(F.col("email")).alias("email"), T.clean_person_name(F.col("name")).alias("name")).where("email != ''")
+    own = F.lit(True)
+    for begin in BANNED_ADDRESSES:
+        own = own & ~F.col("email").startswith(begin)
+    a = a.withColumn("name", F.when(own & (F.instr("name", "@") == 0), F.col("name")))
     named = a.groupBy("email", "name").agg(F.count("*").alias("uses"))
     score = F.struct(T.best_name_score(F.col("name")), F.col("uses"), F.col("name"))
     book = named.groupBy("email").agg(F.array_sort(F.collect_set("name")).alias("names"), F.max_by("name", score).alias("best"), F.sum("uses").alias("uses"))

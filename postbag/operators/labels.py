@@ -25,7 +25,7 @@ def set_checked(messages: DataFrame, doc_labels: DataFrame, label_defs: DataFram
     none = F.expr("cast(array() as array<string>)")
     rows = rows.withColumn("before", F.coalesce("before", none)).withColumn("after", F.array_union("before", wanted))
     timed = label_defs.where(F.col("restriction").isin(*TIMED)).select("label_id", "restriction", "until", "years")
-    each = rows.select("doc_id", "date", F.explode("after").alias("label_id")).join(F.broadcast(timed) if label_defs.isLocal() else timed, "label_id")
+    each = rows.select("doc_id", "date", F.explode("after").alias("label_id")).join(timed, "label_id")
     over = expired(F.col("date"), F.col("until"), F.col("years"), F.lit(now).cast("timestamp"))
     open_ = each.groupBy("doc_id").agg(F.max((~over).cast("int")).alias("open"), F.max((F.col("restriction") == "RESTRICTED_FOR_YEARS").cast("int")).alias("relative"))
     j = rows.join(open_, "doc_id", "left")

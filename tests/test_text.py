@@ -15,7 +15,16 @@ def one(spark, column, **cells):
     ("f", "text", "want"),
     [
         (T.clean_email, " \"'Ann@X.org' ", "ann@x.org"),
-        (T.clean_person_name, '"Smith" [x]', "Smith x"),
+        (T.clean_person_name, '"Smith [x]"', "Smith"),
+        (T.clean_person_name, "'Ann  Lee (at home)'", "Ann Lee"),
+        (T.clean_person_name, "some-undisclosed-recip", None),
+        (T.name_key, "Wetterwald Julien", "julian wetterwald"),
+        (T.name_key, "bernstein", "bernstein"),
+        (T.name_key, "charles, bernstein", "bernstein charles"),
+        (T.name_key, "Barack H. Obama", "barack obama"),
+        (T.name_key, "George H W, Bush", "bush george"),
+        (T.name_key, "bob creeley", "robert creeley"),
+        (T.name_key, "Justice committee", ""),
         (T.clean_person_name, "123", None),
         (T.clean_person_name, "mail admin", None),
         (T.name_key, "Smith, Bob J.", "robert smith"),
