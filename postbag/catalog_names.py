@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from postbag.catalog import query
 from postbag.functions import types as kinds
-from postbag.operators import candidates, decode, entities, naive
+from postbag.operators import candidates, decode, entities, messages, naive
 from postbag.operators import recogniser as R
 from postbag.operators.model import read
 
@@ -215,6 +215,27 @@ union all select doc_id, c, cast(length(a) + length(b) + 11 as integer), cast(le
 )(lambda s, d: candidates.candidates(texts(s, d), dictionary=["they"]).select("doc_id", "text", "start", "stop"))
 
 
+_TITLE = "array_to_string(list_transform(string_split({0}, ' '), lambda x: upper(x[1]) || x[2:]), ' ')"
+
+
+def _redacted(s, d):
+    """Messages in which only the words of recognised persons are left to read."""
+    words = F.array_distinct(F.flatten(F.collect_list(F.split("text", " "))))
+    names = _recognised(s, d).where("type = 0").groupBy("doc_id").agg(words.alias("allowed"))  # a message's names
+    none = F.expr("cast(array() as array<string>)")
+    return texts(s, d).join(names, "doc_id", "left").select("doc_id", messages.redact(F.col("text"), F.coalesce("allowed", none)).alias("text"))
+
+
+query(
+    "O_PRJ_06_redacted_messages",
+    _TOLD
+    + f""", t as (select doc_id, 'Yesterday ' || {_TITLE.format("seg")} || ' Buyer of ' || {_TITLE.format("region")} || ' met ' || {_TITLE.format("part")} || ' & Co near ' || {_TITLE.format("seg")} || ' ' || {_TITLE.format("region")} || ' Street. They say that yesterday was fine.' as text,
+  list_concat(string_split(region, ' '), [seg, 'buyer', 'of']) as allowed from m)
+select doc_id, array_to_string(list_transform(regexp_extract_all(text, '[a-zA-Z0-9]+|[^a-zA-Z0-9]+'), lambda w: case when regexp_matches(w, '[a-zA-Z0-9]') and not list_contains(allowed, lower(w)) then repeat('.', length(w)) else w end), '') as text from t""",
+    views=False,
+)(_redacted)
+
+
 @query("O_NER_03_segments")
 def _segments(s, d):
     """Phrases of several names run together, cut into segments."""
