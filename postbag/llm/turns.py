@@ -150,6 +150,12 @@ def fault(text: Column, again: Column) -> Column:
     return F.when(~text.rlike(r"[^\x20\x09-\x0D]"), "blank").when(again, "duplicate").when(~text.rlike(r"[.!?][\x20\x09-\x0D]*\z"), "truncated").otherwise("")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Conversations whole and in order, over all shuffle partitions: the rows are small, the work on them is not, so they are not put together by bytes."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "i")
+
+
 EDITS = "conv_id long, i long, macro string, first string, number long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long"
 
 
@@ -210,7 +216,7 @@ def plan(turns: DataFrame) -> DataFrame:
             yield from close()
 
     rows = turns.select("conv_id", "i", "turn", F.substring("role", 1, 1).alias("initial"), fault(F.col("text"), F.col("again")).alias("fault"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "i").select("conv_id", "turn", "initial", "fault").mapInArrow(run, EDITS)
+    return _dealt(rows).select("conv_id", "turn", "initial", "fault").mapInArrow(run, EDITS)
 
 
 def apply(turns: DataFrame, edits: DataFrame) -> DataFrame:
@@ -254,7 +260,7 @@ def report(rows: DataFrame) -> DataFrame:
             types = [*[pa.int64()] * 7, pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=[c.split(" ")[0] for c in REPORT.split(", ")])
 
-    return done.repartition("conv_id").sortWithinPartitions("conv_id", "i").drop("i", "number").mapInArrow(run, REPORT)
+    return _dealt(done).drop("i", "number").mapInArrow(run, REPORT)
 
 
 def damaged(rows: DataFrame) -> DataFrame:
