@@ -213,7 +213,7 @@ def test_language(spark, docs):
 
 
 def test_queries_are_named():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES) == list(range(1, 14))
 
 
 def test_language_does_not_depend_on_neighbours():
@@ -289,5 +289,5 @@ def test_empty_tables_and_null_ids(spark, tmp_path):
         spark.createDataFrame([(1, None, None, None), (None, 1, "user", "a"), (1, None, None, None)] if rows else [], "conv_id long, turn long, role string, text string").withColumn("span", F.lit(3)).write.parquet(f"{folder}/conversations.parquet")
         for query, f in queries.QUERIES.items():
             got = f(spark, str(folder)).collect()
-            named = 2 if query.startswith("op10") else {"op2_token_ids": 3, "op4_token_counts": 3, "op7_near_duplicates": 3}.get(query, 4)
+            named = 2 if query.startswith(("op10", "op12")) else {"op2_token_ids": 3, "op4_token_counts": 3, "op7_near_duplicates": 3}.get(query, 4)
             assert len(got) == (named if rows else 1 if query.startswith("op10") else 0), query
