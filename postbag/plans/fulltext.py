@@ -1,7 +1,8 @@
 """A text query language compiled to columns.
 
 Terms, "phrases", AND / OR / NOT (also + and -), field:term, wildcards (* and ?),
-fuzzy terms (word~1), and parentheses; the default operator is OR.  Text is analysed
+fuzzy terms (word~1), boosts (word^2, for ranked search), and parentheses; the default
+operator is OR.  Text is analysed
 once into a token array (lower-cased words without possessives, stop words as gaps,
 stemmed); a query becomes array predicates on it.
 """
@@ -69,9 +70,10 @@ class Node:
     name: str | None = None
     parts: list[Node] = field(default_factory=list)
     text: str | None = None
+    boost: float = 1.0
 
 
-_LEX = re.compile(r'\s*(?:(\()|(\))|(AND|&&)(?=\s)|(OR|\|\||\|)(?=\s)|(NOT|!)(?=\s)|([+-])(?=\S)|(?:(\w+):)?"([^"]*)"|(?:(\w+):)?([^\s()"]+))')
+_LEX = re.compile(r'\s*(?:(\()|(\))|(AND|&&)(?=\s)|(OR|\|\||\|)(?=\s)|(NOT|!)(?=\s)|([+-])(?=\S)|(?:(\w+):)?"([^"]*)"(?:\^(\d+(?:\.\d+)?))?|(?:(\w+):)?([^\s()"]+))')
 
 
 def parse(query: str) -> Node:
@@ -102,15 +104,17 @@ def parse(query: str) -> Node:
             inner = unit()
             return Node("not", parts=[inner]) if g[5] == "-" else Node("must", parts=[inner])
         if g[7] is not None:
-            return Node("phrase", analyse(g[7]), g[6], text=g[7])
-        word = g[9]
+            return Node("phrase", analyse(g[7]), g[6], text=g[7], boost=float(g[8] or 1))
+        word, name, boost = g[10], g[9], 1.0
         if word is None:
             raise ValueError("operator without operand")
+        if m := re.fullmatch(r"(.+)\^(\d+(?:\.\d+)?)", word):
+            word, boost = m[1], float(m[2])
         if "*" in word or "?" in word:
-            return Node("wild", word.lower(), g[8])
+            return Node("wild", word.lower(), name, boost=boost)
         if m := re.fullmatch(r"(\w+)~(\d?)", word):
-            return Node("fuzzy", (m[1].lower(), int(m[2] or 2)), g[8])
-        return Node("phrase", analyse(word), g[8], text=word)
+            return Node("fuzzy", (m[1].lower(), int(m[2] or 2)), name, boost=boost)
+        return Node("phrase", analyse(word), name, text=word, boost=boost)
 
     def both() -> list[Node]:
         nonlocal pos

@@ -119,30 +119,24 @@ class Index:
         `least`: how often the query's terms must stand in the fields together.
         """
         tree = fulltext.parse(query)
-        leaves: list[tuple[str, list[str]]] = []  # (field, terms) of each phrase or term
+        leaves: list[tuple[str, list[str], float]] = []  # (field, terms, boost) of each phrase or term
 
-        def leaf(name: str, terms: list[str]) -> int:
-            if (name, terms) not in leaves:
-                leaves.append((name, terms))
-            return leaves.index((name, terms))
+        def leaf(name: str, terms: list[str], boost: float) -> int:
+            if (name, terms, boost) not in leaves:
+                leaves.append((name, terms, boost))
+            return leaves.index((name, terms, boost))
 
         def walk(n: fulltext.Node) -> tuple:
             if n.kind in ("and", "or", "not", "must"):
                 return n.kind, [walk(p) for p in n.parts]
             names = (n.name,) if n.name in self.fields else fields
             if n.kind == "phrase":
-                return "any", [leaf(f, t) for f in names if (t := self.analysed(n.text, f))]
-            return "terms", [(f, t) for f, t in self._like(n, names)]
+                return "any", [leaf(f, t, n.boost) for f in names if (t := self.analysed(n.text, f))]
+            return "any", [leaf(f, [t], n.boost) for f, t in self._like(n, names)]
 
         shape = walk(tree)
 
-        def named(s: tuple) -> tuple:
-            if s[0] == "terms":
-                return "any", [leaf(f, [t]) for f, t in s[1]]
-            return s if s[0] == "any" else (s[0], [named(p) for p in s[1]])
-
-        shape = named(shape)
-        asked = sorted({(f, t) for f, ts in leaves for t in ts if t})
+        asked = sorted({(f, t) for f, ts, _ in leaves for t in ts if t})
         if not asked:
             return self.spark.createDataFrame([], "doc_id long, score double")
         at = {x: k for k, x in enumerate(asked)}
@@ -152,7 +146,7 @@ class Index:
         per = rows.groupBy("doc_id").agg(*[F.max(F.when((F.col("field") == f) & (F.col("term") == t), entry)).alias(f"_{k}") for (f, t), k in at.items()])
 
         def hit(k: int) -> Column:
-            name, terms = leaves[k]
+            name, terms, _ = leaves[k]
             cols = [(j, F.col(f"_{at[name, t]}")) for j, t in enumerate(terms) if t]
             out = F.lit(True)
             for _, c in cols:
@@ -192,7 +186,7 @@ class Index:
 
         score, total = F.lit(0.0), F.lit(0)
         for k in sorted(wanted(shape)):
-            name, terms = leaves[k]
+            name, terms, boost = leaves[k]
             m, w = sizes.get(name, (0, 0))
             for t in terms:
                 if t and (name, t) in n:
@@ -200,7 +194,7 @@ class Index:
                     df = n[name, t]
                     idf = F.log(F.lit(1 + (m - df + 0.5) / (df + 0.5)))
                     part = idf * c["tf"] * (K1 + 1) / (c["tf"] + K1 * (1 - B + B * c["length"] / (w / m)))
-                    score = score + F.when(hit(k), part).otherwise(0.0)
+                    score = score + F.when(hit(k), boost * part).otherwise(0.0)
                     total = total + F.coalesce(c["tf"], F.lit(0))
         out = per.where(truth(shape) & (total >= least)).select("doc_id", score.alias("score"))
         return out.orderBy(F.desc("score"), "doc_id").limit(limit) if limit else out

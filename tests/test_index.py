@@ -99,6 +99,13 @@ def test_scores(index):
         assert set(got) == set(want) and all(math.isclose(got[d], want[d], rel_tol=1e-9) for d in want)
 
 
+def test_boosts(index):
+    got, one, two = found(index, 'fox^3 OR "quick"^0.5'), by_hand(["fox"]), by_hand(["quick"])
+    assert all(math.isclose(got[d], 3 * one.get(d, 0) + 0.5 * two.get(d, 0), rel_tol=1e-9) for d in got) and set(got) == set(one) | set(two)
+    assert [(n.value, n.boost) for n in fulltext.parse('fox^3 "a quick dog"^2 run*^1.5').parts] == [(["fox"], 3.0), (["quick", "dog"], 2.0), ("run*", 1.5)]
+    assert sorted(found(index, "body:fox^2 AND quick")) == [1]
+
+
 def test_queries_of_the_index(index):
     hits = lambda q, *a, **k: sorted(found(index, q, *a, **k))
     assert hits('"state of the art"') == [3] and hits('"state art"') == [4] and hits("+fox -dog") == [1] and hits("fox AND dog") == [2]
